@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from papersluice.llm.bpe import encode_corpus
+from papersluice.llm.lookalike import lookalike_classes, lookalike_pairs
+from papersluice.llm.records import text_records
 from papersluice.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +26,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike_pairs(text_records(spark, sf_dir, "snippet", "matched"))
+
+
+@query("p1_classes")
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike_classes(text_records(spark, sf_dir, "snippet", "matched"))
+
+
 @query("p6_ids")
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(load(spark, sf_dir, "documents"))
