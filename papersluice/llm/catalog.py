@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from papersluice.llm.bpe import encode_corpus
+from papersluice.llm.garbled import find_garbled
 from papersluice.llm.lookalike import lookalike_classes, lookalike_pairs
 from papersluice.llm.records import text_records
 from papersluice.session import load
@@ -36,6 +37,16 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_classes(text_records(spark, sf_dir, "snippet", "matched"))
 
 
+@query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_garbled(text_records(spark, sf_dir, "name", "filename", "snippet")).select("field", "rec_id").distinct()
+
+
+@query("p3_restored")
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_garbled(text_records(spark, sf_dir, "name", "filename", "snippet"))
+
+
 @query("p6_ids")
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(load(spark, sf_dir, "documents"))
