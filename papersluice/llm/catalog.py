@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from papersluice.llm.bpe import encode_corpus
 from papersluice.llm.garbled import find_garbled
 from papersluice.llm.lookalike import lookalike_classes, lookalike_pairs
+from papersluice.llm.personal import find_personal
 from papersluice.llm.records import text_records
 from papersluice.session import load
 
@@ -47,6 +49,17 @@ def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_garbled(text_records(spark, sf_dir, "name", "filename", "snippet"))
 
 
+@query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal(text_records(spark, sf_dir, "matched", "snippet"))
+    return found.select("field", "rec_id", F.explode("kinds").alias("kind")).distinct()
+
+
+@query("p4_redacted")
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal(text_records(spark, sf_dir, "matched", "snippet"))
+
+
 @query("p6_ids")
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(load(spark, sf_dir, "documents"))
