@@ -131,7 +131,7 @@ def _re(pattern: str, flags: int = 0) -> regex.Pattern:
 
 #: Words that speak for a kind when they stand just before, and against it.
 FOR = {
-    "phone": _re(r"(?i)(?:\btel|\bt[ée]l|phone|mobil|\bcell|\bfax|\bcall|reach|handy|r[üu]ckruf|durchwahl|telefon|joindre|portable|llamar|m[óo]vil|звонить|тел|факс|моб|电话|手机|致电|传真|联系方式|座机|\bor|;|,|/)[\s.:：n°º№(+]*(?:unter|on|at|au|al|to|по)?[\s.:：]*$"),
+    "phone": _re(r"(?i)(?:\btel|\bt[ée]l|phone|mobil\w*|\bcell|\bfax|\bcall|reach\w*|handy|r[üu]ckruf|durchwahl|telefon|joindre|portable|llamar|m[óo]vil|звонить|тел|факс|моб|电话|手机|致电|传真|联系方式|座机|\bor|;|,|/)[\s.:：n°º№(+]*(?:unter|on|at|au|al|to|по)?[\s.:：]*$"),
     "id_number": _re(r"(?i)(?:身份证|证件|证号|护照|社保|passport|passeport|pasaporte|паспорт|reisepass|\bpass|ausweis|ID card|identity|national insurance|NINO|social security|\bSSN|\bNIR|s[ée]cu(?:rit[ée] sociale)?|\bDNI|\bNIE|СНИЛС|ИНН|steuer-?id|sozialversicherung\w*|carte d.identit[ée]|seguridad social)[\s.:：,#-]*(?:no|nr|n|number|num[ée]ro|n[úu]mero|号码|号|серия)?[\s.:：°º№#-]*(?:[Nn][or°º]?\.?)?[\s.:：№]*$"),
 }
 AGAINST = {
@@ -155,7 +155,7 @@ _PHONES = [
     (_re(r"(?<![\w.+=#-])2025550\d{3}(?!\d)"), 0.5),
     (_re(r"(?<![\w.+=#-])[2-9]\d{2}[2-9]\d{6}(?!\d)"), 0.2),
     # Britain, Germany
-    (_re(r"(?<![\w.+=#-])0\d{2,4}[\s/-]+\d{3,4}[\s-]?\d{2,5}(?:[\s-]\d{2,4})?(?!\d)"), 0.35),
+    (_re(r"(?<![\w.+=#-])0\d{2,4}[\s/-]+\d{3,4}[\s-]?\d{2,5}(?:[\s-]\d{2,4})?(?!\d)"), 0.5),
     (_re(r"(?<![\w.+=#-])\(0\d{2,4}\)[\s/-]*\d{3,4}[\s-]?\d{3,5}(?!\d)"), 0.5),
     (_re(r"(?<![A-Za-z0-9.+=#_-])0\d{2,3}[\s-]?\d{7,8}(?!\d)"), 0.35),
     # France
