@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from papersluice.llm.bpe import encode_corpus
 from papersluice.llm.garbled import find_garbled
+from papersluice.llm.leakage import find_leaks
 from papersluice.llm.lookalike import lookalike_classes, lookalike_pairs
 from papersluice.llm.personal import find_personal
 from papersluice.llm.records import text_records
@@ -63,3 +64,8 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p6_ids")
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(load(spark, sf_dir, "documents"))
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
