@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papersluice.llm import abuse
 from papersluice.llm.bpe import encode_corpus
 from papersluice.llm.garbled import find_garbled
 from papersluice.llm.leakage import find_leaks
@@ -69,3 +70,19 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p7_found")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = abuse.score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "review_labels"))
+    return scored.where("flagged").select("doc_id")
+
+
+@query("p8_scores")
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "review_labels"), keep=["source"])
+
+
+@query("p8_rates")
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(load(spark, sf_dir, "documents"), load(spark, sf_dir, "review_labels"))

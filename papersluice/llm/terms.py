@@ -17,9 +17,12 @@ _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-@lru_cache(maxsize=1)
-def tables() -> tuple[np.ndarray, np.ndarray]:
-    """For every code point: what it is folded to (width, case, look-alikes of one character), and its class."""
+@lru_cache(maxsize=2)
+def tables(across: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """For every code point: what it is folded to (width, case, look-alikes of one character), and its class.
+
+    ``across``: letters of other scripts that look Latin are folded as well, Cyrillic text as a whole included.
+    """
     fold = np.arange(0x110000, dtype=np.uint32)
     kind = np.zeros(0x110000, np.uint8)
     alike = table()
@@ -27,11 +30,13 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
         if 0xD800 <= cp < 0xE000:
             continue
         ch = chr(cp)
-        to = alike.get(cp, ch) if not 0x400 <= cp < 0x530 and not 0x370 <= cp < 0x400 else ch
+        to = alike.get(cp, ch) if across or not 0x370 <= cp < 0x530 else ch
         if to == "":
             kind[cp] = SKIPPED
             continue
         low = (to if len(to) == 1 else ch).lower()
+        if across and len(low) == 1:
+            low = alike.get(ord(low), low).lower()
         fold[cp] = ord(low) if len(low) == 1 else cp
     for cp in range(0x20000):
         if kind[cp] != SKIPPED and not 0xD800 <= cp < 0xE000:
@@ -54,9 +59,9 @@ class Chars:
     bounds: np.ndarray
 
 
-def chars(texts: Sequence[str | None]) -> Chars:
+def chars(texts: Sequence[str | None], across: bool = False) -> Chars:
     """Folds a batch of texts; null counts as empty. Invisible characters are gone."""
-    fold, kind = tables()
+    fold, kind = tables(across)
     joined = "\n".join([t or "" for t in texts]) + "\n"
     raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     lens = np.fromiter((len(t or "") + 1 for t in texts), np.int64, len(texts))
