@@ -37,7 +37,7 @@ FIT_DOCUMENTS = 3000
 #: Terms of a block; a window is two blocks, and begins at every block.
 BLOCK = 16
 #: Cosine from which a window makes its document a candidate.
-COSINE = 0.2
+COSINE = 0.5
 #: Share of a passage's distinctive weight that a leak holds.
 HELD = 0.28
 #: Share from which a leak counts if it also holds the item's answer.
@@ -124,7 +124,9 @@ def document_frequency(texts: DataFrame, watched: np.ndarray) -> tuple[np.ndarra
 
 
 def randomised_svd(texts: DataFrame, idf: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Leading right singular vectors (terms x RANK) of the unit TF-IDF windows of ``texts``.
+    """Leading right singular vectors (terms x RANK) of the unit TF-IDF windows of ``texts``, each over its singular value.
+
+    The division keeps the directions that all texts of a language share from ruling the cosine.
 
     A random matrix is multiplied by A'A in every partition of A; the partial products are added
     up by Spark, term range by term range; between the steps the driver orthonormalises (terms x
@@ -169,7 +171,8 @@ def randomised_svd(texts: DataFrame, idf: np.ndarray, seed: int = 7) -> np.ndarr
         basis = np.linalg.qr(product(basis))[0].astype(np.float32)
     image = product(basis)  # A'A Q: its Gram matrix with Q gives the squared singular values
     values, vectors = np.linalg.eigh((basis.T @ image).astype(np.float64))
-    return np.ascontiguousarray(basis @ vectors[:, ::-1][:, :RANK]).astype(np.float32)
+    values, vectors = values[::-1][:RANK], vectors[:, ::-1][:, :RANK]
+    return np.ascontiguousarray(basis @ (vectors / np.sqrt(np.maximum(values, 1e-6 * max(values[0], 1e-12))))).astype(np.float32)
 
 
 # --- check -----------------------------------------------------------------------------------
