@@ -89,15 +89,22 @@ def highlight_spans(text: Column, query: str) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
     spans = F.array().cast("array<struct<term:string,start:int>>")
     for t in dict.fromkeys(highlight_terms(query)):
-        pieces = F.split(low, re.escape(t) if t.isascii() else t)
-        starts = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(pieces) - 1)),
-            lambda i, pieces=pieces, t=t: F.struct(F.lit(t).alias("term"), (F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda a, p: a + F.length(p)) + (i - 1) * len(t) + 1).alias("start")),
-        )
-        spans = F.concat(spans, F.when(F.size(pieces) > 1, starts).otherwise(F.array().cast("array<struct<term:string,start:int>>")))
+        spans = F.concat(spans, _occurrences(low, t))
     return spans
 
 
+def _occurrences(low: Column, term: str) -> Column:
+    """Places of ``term`` in ``low``: what the pieces between them add up to."""
+
+    def place(acc: Column, piece: Column) -> Column:
+        at = acc["at"] + F.length(piece)
+        return F.struct((at + len(term)).alias("at"), F.concat(acc["found"], F.array(F.struct(F.lit(term).alias("term"), (at + 1).cast("int").alias("start")))).alias("found"))
+
+    pieces = F.split(low, re.escape(term))
+    none = F.array().cast("array<struct<term:string,start:int>>")
+    return F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), F.struct(F.lit(0).alias("at"), none.alias("found")), place, lambda acc: acc["found"])
+
+
 def ticks(ts: Column) -> Column:
     """100 ns since 0001-01-01 of a timestamp taken as UTC."""
     return (F.unix_micros(ts.cast("timestamp")) + F.lit(TICKS_AT_EPOCH_US)) * 10

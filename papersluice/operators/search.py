@@ -102,7 +102,7 @@ def _evaluate(clause: Clause, stats: _Stats) -> tuple[Column, Column]:
             continue
         if clause.kind == "wildcard":
             pattern = "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in clause.terms[0]) + "$"
-            one = F.exists(arr, lambda t, p=pattern: t.rlike(p))
+            one = F.exists(arr, lambda t: t.rlike(pattern))  # noqa: B023
         elif clause.kind == "fuzzy":
             one = F.exists(arr, lambda t: F.levenshtein(t, F.lit(clause.terms[0])) <= clause.slop)
         else:
@@ -125,7 +125,8 @@ def search(docs: DataFrame, query: str | None, k: int = MAX_RESULTS, batch: str
     if root is None:
         stats, match, score = _Stats(0, {}), F.lit(False), F.lit(0.0)
     else:
-        analyzed = base.withColumns({f"t_{n}": tokens(F.col(n)) for n in ANALYZED})
+        # Unfolding an array of one struct keeps the optimizer from putting the analysis into every place its result is used.
+        analyzed = base.select("*", F.inline(F.array(F.struct(*[tokens(F.col(n)).alias(f"t_{n}") for n in ANALYZED]))))
         wanted = sorted({(n, t) for c in scored(root) for n in _fields(c) if n in ANALYZED for t in c.terms})
         row = analyzed.agg(F.count("*"), *[F.sum(F.array_contains(f"t_{n}", t).cast("bigint")) for n, t in wanted]).first()
         stats = _Stats(row[0], {_key(n, t): v or 0 for (n, t), v in zip(wanted, row[1:])})
@@ -152,7 +153,7 @@ def build_postings(docs: DataFrame) -> DataFrame:
     Terms are counted before the shuffle, and the shuffle is by path and term together, so neither a
     frequent term nor a long document makes a hot partition.
     """
-    parts = F.array(*[F.struct(F.lit(n).alias("field"), tokens(F.col(n)).alias("terms")) for n in ANALYZED])
+    parts = F.array(*[F.struct(F.lit(n).alias("field"), tokens(F.col(n)).alias("terms")) for n in ANALYZED])  # analyzed once, as above
     per_field = docs.select("path", F.inline(parts)).withColumn("n_terms", F.size("terms"))
     exploded = per_field.select("path", "field", "n_terms", F.posexplode("terms").alias("pos", "term"))
     return exploded.groupBy("path", "field", "term", "n_terms").agg(F.sort_array(F.collect_list("pos")).alias("positions")).select("field", "term", "path", "positions", F.size("positions").alias("tf"), "n_terms")
@@ -190,26 +191,30 @@ def _only_terms(root: Clause) -> bool:
     return all(c.kind in ("term", "phrase") and not c.slop for c in _leaves(root))
 
 
+def _posting(name: str, term: str) -> Column:
+    return F.get(F.filter("p", lambda x: (x["field"] == name) & (x["term"] == term)), 0)
+
+
+def _followed(places: Column, others: Column, by: int) -> Column:
+    return F.filter(places, lambda x: F.array_contains(others, x + by))
+
+
 def _gathered(clause: Clause, stats: _Stats) -> tuple[Column, Column]:
     """As _evaluate, over the array ``p`` of a document's postings."""
     if clause.kind == "group":
         return _evaluate_group(clause, stats)
     match, score = F.lit(False), F.lit(0.0)
     for name in _fields(clause):
-        def of(term: str, name=name) -> Column:
-            return F.get(F.filter("p", lambda x: (x.field == name) & (x.term == term)), 0)
-
-        first = of(clause.terms[0])
-        places = F.coalesce(first.positions, F.array().cast("array<int>"))
+        first = _posting(name, clause.terms[0])
+        places = F.coalesce(first["positions"], F.array().cast("array<int>"))
         for i, t in enumerate(clause.terms[1:], 1):
-            rest = F.coalesce(of(t).positions, F.array().cast("array<int>"))
-            places = F.filter(places, lambda x, i=i, rest=rest: F.array_contains(rest, x + i))
+            places = _followed(places, F.coalesce(_posting(name, t)["positions"], F.array().cast("array<int>")), i)
         tf = F.size(places)
         idf = F.lit(0.0)
         for t in clause.terms:
             idf = idf + stats.idf(name, t)
         match = match | (tf > 0)
-        score = score + F.when(tf > 0, F.sqrt(tf.cast("double")) * idf * idf / F.sqrt(first.n_terms.cast("double"))).otherwise(0.0) * clause.boost
+        score = score + F.when(tf > 0, F.sqrt(tf.cast("double")) * idf * idf / F.sqrt(first["n_terms"].cast("double"))).otherwise(0.0) * clause.boost
     return match, score
 
 

@@ -86,3 +86,233 @@ WHERE o.path IS NULL OR a.size IS DISTINCT FROM o.size OR a.modified_ticks IS DI
 )
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay_runs(load(spark, sf_dir, "stamp_feed"), load(spark, sf_dir, "index_runs"), work_dir(spark, "p5-target"))
+
+
+# --- reference operators over the documents table ---------------------------------------------
+
+from pyspark.sql import Window  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from papersluice.functions import router, text  # noqa: E402
+from papersluice.operators import index, rules, search  # noqa: E402
+from papersluice.plans.oracle import DOCS, TOKENS, search_sql, snippet_sql  # noqa: E402
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table in the index's shape."""
+    d = load(spark, sf_dir, "documents")
+    return d.select(
+        "path", F.element_at(F.split("path", "/"), -1).alias("filename"), router.extension_of(F.col("path")).alias("ext"), "filetype", "batch",
+        "size", text.ticks(F.col("modified")).alias("modified_ticks"), F.col("text").alias("content"), "doc_id",
+    )
+
+
+def _register(name: str, sql: str | None, plan: Callable[[DataFrame], DataFrame]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return plan(documents(spark, sf_dir))
+
+    run.__name__ = name
+    query(name, sql)(run)
+
+
+_register("scan_project", f"WITH {DOCS} SELECT path, filename, ext, size, modified_ticks FROM docs", lambda d: d.select("path", "filename", "ext", "size", "modified_ticks"))
+_register("scan_order", f"WITH {DOCS} SELECT path, row_number() OVER (ORDER BY path) AS n FROM docs ORDER BY path LIMIT 100", lambda d: d.select("path").orderBy("path").limit(100).select("path", F.row_number().over(Window.orderBy("path")).alias("n")))
+_register("ext_filter", f"WITH {DOCS} SELECT path, ext FROM docs WHERE ext IN ('.txt', '.csv', '.zip')", lambda d: d.where(F.col("ext").isin(".txt", ".csv", ".zip")).select("path", "ext"))
+_register("exclude_dirs", f"WITH {DOCS} SELECT path FROM docs WHERE NOT starts_with(lower(path), '/srv/depot/training/') AND NOT starts_with(lower(path), '/srv/depot/legal/')", lambda d: d.where(~F.lower("path").startswith("/srv/depot/training/") & ~F.lower("path").startswith("/srv/depot/legal/")).select("path"))
+_LABELS = ", ".join(f"('{e}', '{router.label(e)}')" for e in sorted(router.EXTENSIONS))
+_register(
+    "route_labels",
+    f"WITH {DOCS}, labels AS (SELECT * FROM (VALUES {_LABELS}) t(ext, label)) SELECT d.path, coalesce(l.label, '{router.OTHER}') AS label FROM docs d LEFT JOIN labels l ON d.ext = l.ext",
+    lambda d: d.select("path", router.label_of(F.col("ext")).alias("label")),
+)
+_register("tokenize_counts", f"WITH {DOCS}, t AS (SELECT unnest({TOKENS('content')}) AS term FROM docs) SELECT term, count(*) AS n FROM t GROUP BY term", lambda d: d.select(F.explode(text.tokens(F.col("content"))).alias("term")).groupBy("term").agg(F.count("*").alias("n")))
+_register("tokenize_docs", f"WITH {DOCS} SELECT path, md5(array_to_string({TOKENS('content')}, ' ')) AS digest FROM docs", lambda d: d.select("path", F.md5(F.array_join(text.tokens(F.col("content")), " ")).alias("digest")))
+_register(
+    "postings",
+    f"""WITH {DOCS}, p AS (SELECT path, 'content' AS field, {TOKENS('content')} AS terms FROM docs UNION ALL SELECT path, 'filename', {TOKENS('filename')} FROM docs),
+e AS (SELECT path, field, len(terms) AS n_terms, unnest(terms) AS term, unnest(range(len(terms))) AS pos FROM p)
+SELECT field, term, path, count(*) AS tf, n_terms, array_to_string(list_sort(list(pos)), ',') AS positions FROM e GROUP BY field, term, path, n_terms""",
+    lambda d: search.build_postings(d).withColumn("positions", F.array_join("positions", ",")),
+)
+
+
+def _search(name: str, q: str, k: int = 100, batch: str | None = None, snippets: bool = False) -> None:
+    columns = ["path", "filename", "filetype", "batch", "size", "score", *["snippet"] * snippets]
+    _register(name, search_sql(q, k, batch, snippets), lambda d: search.search(d, q, k, batch, snippets).select(*columns))
+
+
+_search("search_or_topk", "voucher inventory signatures", 50, snippets=True)
+_search("search_and", "stamped AND receipt", 500)
+_search("search_not", "catalogue NOT stamped", 500)
+_search("search_required_prohibited", "+the -voucher registry", 500)
+_search("search_phrase", '"unless the owner objects"', 500)
+_search("search_phrase_cjk", "检验报告", 500)
+_search("search_field_filename", "filename:pdf budget", 500)
+_search("search_keyword_field", "filetype:PDF +register", 500)
+_search("search_group", "(voucher OR receipt) AND (stamped OR sealed)", 500)
+_search("search_wildcard", "inven* +wa?er", 500)
+_search("search_fuzzy", "recipt~1", 500)
+_search("search_range", "content:[zebra TO zinc] size:[0 TO 300]", 500)
+_search("search_boost", "voucher^3 receipt", 200)
+_search("search_proximity", '"retention period"~2', 500)
+_search("search_syntax_fallback", 'the "unclosed voucher', 200)
+_search("search_blank", "   ", 50)
+_search("search_only_negative", "-voucher", 50)
+query("search_batch_filter", search_sql("voucher receipt", 500, "(SELECT min(batch) FROM documents)"))(
+    lambda spark, sf_dir: search.search(documents(spark, sf_dir), "voucher receipt", 500, load(spark, sf_dir, "documents").agg(F.min("batch")).first()[0]).select("path", "filename", "filetype", "batch", "size", "score")
+)
+_register("search_postings", search_sql("+voucher stamped -receipt \"the owner\"", 200), lambda d: search.search_postings(search.build_postings(d), d, "+voucher stamped -receipt \"the owner\"", 200).select("path", "filename", "filetype", "batch", "size", "score"))
+_register("snippet_window", f"WITH {DOCS} SELECT path, {snippet_sql('content', 'that')} AS snippet FROM docs", lambda d: d.select("path", text.snippet(F.col("content"), "that").alias("snippet")))
+_register("snippet_query_order", f"WITH {DOCS} SELECT path, {snippet_sql('content', '编号 the AND voucher')} AS snippet FROM docs", lambda d: d.select("path", text.snippet(F.col("content"), "编号 the AND voucher").alias("snippet")))
+_register(
+    "highlight_spans",
+    f"""WITH {DOCS}, s AS (SELECT path, lower(coalesce(content, '')) AS low FROM docs), p AS (SELECT path, t.term, string_split(low, t.term) AS pieces FROM s, (VALUES ('voucher'), ('编号')) t(term)),
+u AS (SELECT path, term, pieces, unnest(range(1, len(pieces))) AS i FROM p)
+SELECT path, term, list_sum(list_transform(pieces[1:i], lambda x: length(x))) + (i - 1) * length(term) + 1 AS start FROM u""",
+    lambda d: d.select("path", F.inline(text.highlight_spans(F.col("content"), "voucher 编号"))),
+)
+_register("collapse_space", f"WITH {DOCS} SELECT path, md5(regexp_replace(content, '[{text.SPACE}]+', ' ', 'g')) AS digest FROM docs", lambda d: d.select("path", F.md5(text.collapse_space(F.col("content"))).alias("digest")))
+_register(
+    "format_size",
+    f"""WITH {DOCS} SELECT path, CASE WHEN size * 977 < 1024 THEN (size * 977)::VARCHAR || ' B' WHEN size * 977 < 1048576 THEN printf('%.1f KB', size * 977 / 1024.0::DOUBLE)
+WHEN size * 977 < 1073741824 THEN printf('%.1f MB', size * 977 / 1048576.0::DOUBLE) WHEN size IS NOT NULL THEN printf('%.2f GB', size * 977 / 1073741824.0::DOUBLE) END AS shown FROM docs""",
+    lambda d: d.select("path", text.format_size(F.col("size") * 977).alias("shown")),
+)
+_register("ticks_roundtrip", f"WITH {DOCS} SELECT d.path, s.modified FROM docs d JOIN documents s ON d.path = s.path", lambda d: d.select("path", text.from_ticks(F.col("modified_ticks")).cast("timestamp_ntz").alias("modified")))
+
+
+# --- rules
+
+_RULES = [
+    rules.Rule("ipv4", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "regex", "low", id="a"),
+    rules.Rule("mobile", r"1[3-9]\d{9}", "regex", "medium", id="b"),
+    rules.Rule("broken", r"([", "regex", "high", id="c"),
+    rules.Rule("secret", "保密", "keyword", "high", id="d"),
+    rules.Rule("Classified", "Classified", "keyword", "critical", id="e"),
+    rules.Rule("pdf", "PDF", "keyword", "low", True, False, id="f"),
+    rules.Rule("hex name", r"f[0-9a]{4}", "regex", "medium", True, False, id="g"),
+]
+
+
+def _rule_sql(cap: int | None = None) -> str:
+    def window(text_: str, at: str, size: str) -> str:
+        return f"(CASE WHEN {at} > 41 THEN '…' ELSE '' END) || translate(substr({text_}, greatest(1, {at} - 40), least(length({text_}), {at} + {size} - 1 + 40) - greatest(1, {at} - 40) + 1), chr(10) || chr(13) || chr(9), '   ') || (CASE WHEN {at} + {size} - 1 + 40 < length({text_}) THEN '…' ELSE '' END)"
+
+    parts = []
+    for i, r in rules.usable(_RULES):
+        for kind, phase, col in (("filename", 0, "filename"), ("content", 1, "content")):
+            if not (r.match_filename if phase == 0 else r.match_content):
+                continue
+            t = f"coalesce({col}, '')"
+            if r.type == "regex":
+                lead = f"(?s)^(.*?)({r.pattern})"
+                hit, at, size = f"regexp_matches({t}, '{r.pattern}')", f"(length(regexp_extract({t}, '{lead}', 1)) + 1)", f"length(regexp_extract({t}, '{lead}', 2))"
+                shown = f"regexp_extract({t}, '{r.pattern}')" if phase == 0 else window(t, at, size)
+            else:
+                at, size = f"strpos(lower({t}), '{r.pattern.lower()}')", str(len(r.pattern))
+                hit, shown = f"{at} > 0", f"'{r.pattern}'" if phase == 0 else window(t, at, size)
+            parts.append(f"SELECT path, {phase} AS phase, {i} AS rule_ord, '{r.name}' AS rule_name, '{r.risk}' AS risk, '{kind}' AS match_type, {shown} AS matched FROM docs WHERE {hit}")
+    body = " UNION ALL ".join(parts)
+    return f"WITH {DOCS}, h AS ({body}) SELECT * FROM h" + (f" ORDER BY path, phase, rule_ord LIMIT {cap}" if cap else "")
+
+
+_register("rules_detect", _rule_sql(), lambda d: rules.detect(d, _RULES, cap=None))
+_register("rules_cap_1000", _rule_sql(1000), lambda d: rules.detect(d, _RULES))
+_register(
+    "rules_risk_rollup",
+    _rule_sql().replace("SELECT * FROM h", "SELECT risk, count(*) AS n_hits, count(DISTINCT path) AS n_files, CASE risk WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 WHEN 'critical' THEN 3 END AS severity FROM h GROUP BY risk"),
+    lambda d: rules.rollup(rules.detect(d, _RULES, cap=None)),
+)
+_register("rules_defaults", None, lambda d: rules.detect(d, cap=None))
+
+
+# --- index maintenance: what is indexed is one state of the documents, the scan another
+
+_FILES_SQL = """
+indexed AS (SELECT path, filename, filetype, coalesce(batch, '') AS batch, size, modified_ticks, content FROM docs WHERE doc_id % 7 <> 3),
+files AS (SELECT path, filename, ext, size, CASE WHEN doc_id % 5 = 1 THEN modified_ticks + 10 ELSE modified_ticks END AS modified_ticks, coalesce(batch, '') AS batch, content FROM docs WHERE doc_id % 11 <> 4),
+actions AS (
+  SELECT coalesce(f.path, i.path) AS path,
+    CASE WHEN f.path IS NULL THEN (CASE WHEN {gone} THEN 'removed' ELSE 'kept' END) WHEN i.path IS NULL THEN 'added'
+      WHEN f.size IS NOT DISTINCT FROM i.size AND f.modified_ticks IS NOT DISTINCT FROM i.modified_ticks AND f.batch IS NOT DISTINCT FROM i.batch THEN 'skipped' ELSE 'updated' END AS action,
+    f.size, f.modified_ticks, f.batch
+  FROM files f FULL JOIN indexed i ON f.path = i.path)
+"""
+_ALL_SQL = f"WITH {DOCS}, {_FILES_SQL.format(gone='true')}"
+_ROOT = "/srv/depot/planning"
+_ROOT_SQL = f"WITH {DOCS}, {_FILES_SQL.format(gone=f"starts_with(i.path, '{_ROOT}/')")}"
+_AFTER_SQL = """, after AS (SELECT path, batch, size, modified_ticks FROM indexed i WHERE NOT EXISTS (SELECT 1 FROM actions a WHERE a.path = i.path AND a.action IN ('removed', 'updated'))
+UNION ALL SELECT a.path, a.batch, a.size, a.modified_ticks FROM actions a WHERE action IN ('added', 'updated'))"""
+
+
+def _states(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Indexed documents, and a later listing with other stamps, without some files and with new ones."""
+    d = d.withColumn("batch", F.coalesce("batch", F.lit("")))
+    indexed = d.where("doc_id % 7 <> 3").select("path", "filename", "filetype", "batch", "size", "modified_ticks", "content")
+    files = d.where("doc_id % 11 <> 4").withColumn("modified_ticks", F.when(F.col("doc_id") % 5 == 1, F.col("modified_ticks") + 10).otherwise(F.col("modified_ticks")))
+    return indexed, files.drop("doc_id")
+
+
+def _extracted(files: DataFrame) -> DataFrame:
+    """The listing's texts, as an extractor would give them."""
+    return files.select("path", router.supported(F.col("ext")).alias("supported"), F.lit(True).alias("ok"), F.col("content").alias("text"), F.lit(None).cast("string").alias("error"), router.label_of(F.col("ext")).alias("label"))
+
+
+def _after(d: DataFrame, **scope) -> tuple[DataFrame, DataFrame, DataFrame]:
+    indexed, files = _states(d)
+    actions = index.diff(files, indexed, **scope)
+    fresh = index.to_documents(actions.where(F.col("action").isin("added", "updated")), _extracted(files))
+    return actions, fresh, index.apply_changes(indexed, actions, fresh)
+
+
+def _diffed(d: DataFrame, **scope) -> DataFrame:
+    indexed, files = _states(d)
+    return index.diff(files, indexed, **scope).select("path", "action")
+
+
+_register("incremental_diff", f"{_ALL_SQL} SELECT path, action FROM actions", lambda d: _diffed(d, removal_scope="all"))
+_register("incremental_delete_root", f"{_ROOT_SQL} SELECT path, action FROM actions", lambda d: _diffed(d, root=_ROOT))
+_register("incremental_cancelled", f"WITH {DOCS}, {_FILES_SQL.format(gone='false')} SELECT path, action FROM actions", lambda d: _diffed(d, cancelled=True))
+_register("incremental_upsert", f"{_ALL_SQL} {_AFTER_SQL} SELECT * FROM after", lambda d: _after(d, removal_scope="all")[2].select("path", "batch", "size", "modified_ticks"))
+_register(
+    "run_stats",
+    f"""{_ALL_SQL} {_AFTER_SQL}, n AS (SELECT a.action, count(*) AS n, count(*) FILTER (WHERE d.ext NOT IN ({", ".join(f"'{e}'" for e in sorted(router.EXTENSIONS))})) AS u FROM actions a LEFT JOIN docs d ON a.path = d.path GROUP BY a.action)
+SELECT (sum(n) FILTER (WHERE action = 'added'))::BIGINT AS added, (sum(n) FILTER (WHERE action = 'updated'))::BIGINT AS updated, (sum(n) FILTER (WHERE action = 'skipped'))::BIGINT AS skipped, 0::BIGINT AS failed,
+coalesce(sum(u) FILTER (WHERE action IN ('added', 'updated')), 0)::BIGINT AS unsupported, (sum(n) FILTER (WHERE action = 'removed'))::BIGINT AS removed, (SELECT count(*) FROM after) AS total_docs, true AS completed FROM n""",
+    lambda d: index.run_stats(*_after(d, removal_scope="all")),
+)
+_register("batch_counts", f"WITH {DOCS} SELECT coalesce(batch, '') AS batch, count(*) AS n_docs FROM docs GROUP BY ALL", index.batch_counts)
+_register(
+    "batch_reassign",
+    f"WITH {DOCS} SELECT path, CASE WHEN doc_id % 2 = 0 THEN 'again' ELSE coalesce(batch, '') END AS batch FROM docs",
+    lambda d: index.apply_changes(
+        d.select(*[c.split()[0] for c in index.DOC_SCHEMA.split(", ")]),
+        (a := index.diff(d.where("doc_id % 2 = 0").withColumn("batch", F.lit("again")), d, cancelled=True)),
+        index.to_documents(a.where(F.col("action").isin("added", "updated")), None, include_content=False),
+    ).select("path", F.coalesce("batch", F.lit("")).alias("batch")),
+)
+query("batch_delete", "SELECT path FROM documents WHERE batch IS DISTINCT FROM (SELECT max(batch) FROM documents)")(
+    lambda spark, sf_dir: index.delete_batch(documents(spark, sf_dir), load(spark, sf_dir, "documents").agg(F.max("batch")).first()[0]).select("path")
+)
+query("batch_options", "SELECT b.id, b.name, count(d.path) AS n_docs FROM batches b LEFT JOIN documents d ON d.batch = b.id GROUP BY b.id, b.name")(
+    lambda spark, sf_dir: index.batch_options(load(spark, sf_dir, "batches"), documents(spark, sf_dir))
+)
+query("batch_summary", "SELECT (SELECT count(*) FROM batches) AS n_batches, (SELECT count(*) FROM documents WHERE batch IN (SELECT id FROM batches)) AS n_docs")(
+    lambda spark, sf_dir: index.batch_summary(load(spark, sf_dir, "batches"), documents(spark, sf_dir))
+)
+_register("clear_all", f"WITH {DOCS} SELECT path FROM docs WHERE false", lambda d: d.where(F.lit(False)).select("path"))
+
+
+def _changes(d: DataFrame, **how) -> DataFrame:
+    files = d.withColumn("batch", F.coalesce("batch", F.lit("")))
+    return index.to_documents(files.select("path", "filename", "ext", "size", "modified_ticks", "batch"), _extracted(files) if how.get("include_content", True) else None, **how)
+
+
+_EXTS = ", ".join(f"'{e}'" for e in sorted(router.EXTENSIONS))
+_register(
+    "oversize_degrade",
+    f"WITH {DOCS} SELECT path, CASE WHEN ext NOT IN ({_EXTS}) OR coalesce(size, 0) > 900 THEN '' ELSE coalesce(content, '') END AS content, ext IN ({_EXTS}) AND coalesce(size, 0) > 900 AS failed FROM docs",
+    lambda d: _changes(d, max_bytes=900).select("path", "content", F.col("error").isNotNull().alias("failed")),
+)
+_register("filename_only_mode", f"WITH {DOCS} SELECT path, '{router.OTHER}' AS filetype, '' AS content FROM docs", lambda d: _changes(d, include_content=False).select("path", "filetype", "content"))
+_register("truncate_maxchars", f"WITH {DOCS} SELECT path, CASE WHEN ext IN ({_EXTS}) THEN substr(coalesce(content, ''), 1, 64) ELSE '' END AS content FROM docs", lambda d: _changes(d, max_chars=64).select("path", "content"))

@@ -9,7 +9,8 @@ quotes make a phrase, field: restricts a clause, parentheses group. Further: ``t
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
+from dataclasses import field as default
 
 from papersluice.functions.text import analyze
 
@@ -30,8 +31,8 @@ class Clause:
     occur: str
     kind: str
     field: str | None = None
-    terms: list[str] = field(default_factory=list)
-    clauses: list[Clause] = field(default_factory=list)
+    terms: list[str] = default(default_factory=list)
+    clauses: list[Clause] = default(default_factory=list)
     boost: float = 1.0
     slop: int = 0
     inclusive: bool = True
