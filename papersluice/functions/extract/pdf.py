@@ -1,0 +1,60 @@
+"""PDF: text of simple, unencrypted files.
+
+Content streams (plain or deflated) are scanned for the strings their text operators show; strings
+are read as UTF-16 if marked so, else as Latin-1. Files whose fonts map codes otherwise need a real
+renderer: register one under the name ``pdf``.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+
+from papersluice.functions.extract import Unreadable
+from papersluice.functions.extract.package import Text
+
+MAX_BYTES = 64 * 1024 * 1024
+_STREAM = re.compile(rb"(<<(?:(?!stream\r?\n).)*?>>)\s*stream\r?\n(.*?)\r?\n?endstream", re.S)
+_TOKEN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\b(?:TJ|Tj|Td|TD|Tm|BT|ET)\b|T\*|['\"](?=\s)", re.S)
+_ESCAPE = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
+
+
+def _string(token: bytes) -> str:
+    if token[:1] == b"<":
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    else:
+        raw = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else b"" if m[1][-1:] == b"\n" else _ESCAPE.get(m[1], m[1]), token[1:-1], flags=re.S)
+    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("latin-1")
+
+
+def extract(data: bytes, max_chars: int) -> str:
+    if data[:4] != b"%PDF":
+        raise Unreadable("not a PDF file: no %PDF header")
+    if len(data) > MAX_BYTES:
+        raise Unreadable("the PDF is too large")
+    if re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", data):
+        raise Unreadable("the PDF is encrypted")
+    out, streams = Text(max_chars), 0
+    for head, body in _STREAM.findall(data):
+        if b"/Image" in head or b"/FontFile" in head or b"/XRef" in head:
+            continue
+        if b"FlateDecode" in head:
+            try:
+                body = zlib.decompressobj().decompress(body)
+            except zlib.error:
+                continue
+        if b"BT" not in body:
+            continue
+        streams += 1
+        for m in _TOKEN.finditer(body):
+            token = m.group()
+            if token[:1] in b"(<":
+                out.add(_string(token))
+            elif token in (b"Td", b"TD", b"T*", b"Tm", b"ET", b"'", b'"'):
+                out.line()
+            if out.full:
+                return str(out)
+    if not streams:
+        raise Unreadable("the PDF holds no readable text stream")
+    return str(out).replace("\r\n", "\n").replace("\r", "\n")

@@ -3,7 +3,7 @@
 Words are OR-ed by default; AND, OR, NOT, &&, ||, !, + and - combine them from left to right;
 quotes make a phrase, field: restricts a clause, parentheses group. Further: ``te?m*`` wildcards,
 ``term~`` and ``term~1`` (edits), ``"a b"~2`` (moves), ``[a TO b]`` and ``{a TO b}`` ranges and
-``^2`` boosts. A query that doesn't parse is taken as plain words.
+``^2`` boosts. A wildcard can't come first. A query that doesn't parse is taken as plain words.
 """
 
 from __future__ import annotations
@@ -148,6 +148,8 @@ def _leaf(m: re.Match) -> Clause | None:
     plain = re.sub(r"\\(.)", r"\1", word)
     if name in EXACT:
         return Clause(SHOULD, "exact", name, [plain], boost=boost)
+    if word[0] in "*?":
+        raise QueryError(word)
     if re.search(r"(?<!\\)[*?]", word):
         return Clause(SHOULD, "wildcard", name, [plain.lower()], boost=boost)
     if fuzzy:
