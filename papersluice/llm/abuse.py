@@ -29,6 +29,8 @@ ROUNDS, STEPS, RATE, PENALTY = 4, 40, 0.1, 1e-5
 SMOOTHING = 2.0
 #: Weight of a chosen sentence against one of a good document.
 CHOSEN_WEIGHT = 3.0
+#: Share of labels taken to be wrong.
+WRONG = 0.05
 #: N-grams with a smaller log-count ratio say nothing.
 LEAST_RATIO = 0.7
 #: N-grams that every sentence counts as having besides its own.
@@ -53,7 +55,8 @@ class Sentences:
     """The sentences of a batch of texts as arrays: buckets of n-grams, and the sentence each belongs to."""
 
     def __init__(self, texts: Sequence[str | None]):
-        c = chars(texts, across=True)
+        c = chars(texts or [""], across=True)
+        texts = texts or [""]
         code, kind = c.codes, c.kinds.copy()
         owner = np.repeat(np.arange(len(texts)), np.diff(c.bounds))
         newline = (code == 10) | (code == 13)
@@ -133,15 +136,15 @@ class AbuseModel:
     """Weights of n-grams (log-count ratio times fitted coefficient) and an intercept."""
 
     def __init__(self, texts: Sequence[str], bad: Sequence[bool]):
+        self.weights, self.intercept = np.zeros(BUCKETS, np.float32), -10.0
+        if not any(bad) or all(bad):
+            return
         s = Sentences(texts)
-        from_bad = np.asarray(bad, bool)[s.owner] if s.count else np.zeros(0, bool)
+        from_bad = np.asarray(bad, bool)[s.owner]
         good = ~from_bad
-        common = np.isin(s.key, s.key[good])  # word for word in good documents
+        common = self._common(s.key, from_bad)
         chosen = from_bad.copy()
         score = np.zeros(s.count, np.float32)
-        self.weights, self.intercept = np.zeros(BUCKETS, np.float32), -10.0
-        if not from_bad.any() or from_bad.all():
-            return
         for r in range(ROUNDS):
             ratio = self._ratio(s, chosen, good)
             if r == 0:
@@ -159,6 +162,14 @@ class AbuseModel:
             if not chosen.any():
                 break
 
+    @staticmethod
+    def _common(keys: np.ndarray, from_bad: np.ndarray) -> np.ndarray:
+        """Sentences that, word for word, are likelier harmless ones, whose documents are bad as often as any, than bad ones, whose documents are labelled good by mistake only."""
+        _, which = np.unique(keys, return_inverse=True)
+        bad, good = np.bincount(which, from_bad), np.bincount(which, ~from_bad)
+        share = from_bad.mean()
+        return (bad * np.log((1 - WRONG) / share) + good * np.log(WRONG / (1 - share)) <= 0)[which]
+
     @staticmethod
     def _ratio(s: Sentences, chosen: np.ndarray, good: np.ndarray) -> np.ndarray:
         p = np.bincount(s.grams[chosen[s.whose]], minlength=BUCKETS).astype(np.float64)
@@ -173,7 +184,10 @@ class AbuseModel:
         """Logistic regression by Adam over the chosen and the good sentences."""
         used = chosen | good
         at = used[s.whose] & (ratio[s.grams] != 0)
-        columns, grams = np.unique(s.grams[at], return_inverse=True)
+        present = np.zeros(BUCKETS, bool)
+        present[s.grams[at]] = True
+        columns = np.flatnonzero(present)
+        grams = (np.cumsum(present, dtype=np.int32) - 1)[s.grams[at]]
         whose = s.whose[at]
         x = (ratio[s.grams[at]] / np.sqrt(s.size + SHORT)[whose]).astype(np.float32)
         y = chosen.astype(np.float32)
@@ -197,6 +211,8 @@ class AbuseModel:
 
     def scores(self, texts: Sequence[str | None]) -> np.ndarray:
         """Of each text its worst sentence's score; the intercept alone for an empty or null one."""
+        if not len(texts):
+            return np.zeros(0)
         out = np.full(len(texts), min(self.intercept, FLAG_FROM - 1), np.float64)
         s = Sentences(texts)
         np.maximum.at(out, s.owner, s.sums(self.weights) + self.intercept)
