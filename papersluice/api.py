@@ -113,9 +113,10 @@ class Engine:
         texts = read_texts(changed, index.MAX_CHARS, index.MAX_FILE_BYTES) if batch.include_content else None
         fresh = materialize(index.to_documents(changed, texts, batch.include_content), "fresh")
         after = index.apply_changes(docs.limit(0) if full_rebuild else docs, actions, fresh)
+        postings = None if full_rebuild else index.apply_to_postings(self.store.postings(), actions, fresh)
         if self._stop.is_set():
             raise Cancelled("stopped")
-        self.store.commit(f"{batch.id}-{uuid.uuid4().hex}", after)
+        self.store.commit(f"{batch.id}-{uuid.uuid4().hex}", after, postings)
         row = index.run_stats(actions, fresh, self.store.read()).first().asDict()
         return RunResult(batch, **row, errors=[tuple(r) for r in index.errors(fresh).collect()])
 
@@ -125,7 +126,8 @@ class Engine:
         if not id_.strip():
             return
         with self._exclusive():
-            self.store.commit(f"delete-{uuid.uuid4().hex}", index.delete_batch(self.store.read(), id_))
+            left = index.delete_batch(self.store.read(), id_)
+            self.store.commit(f"delete-{uuid.uuid4().hex}", left, self.store.postings().join(left.select("path"), "path", "left_semi"))
             self.batches.remove(id_)
 
     def clear(self) -> None:
@@ -148,7 +150,7 @@ class Engine:
         return self.store.count()
 
     def search(self, query: str, k: int = search.MAX_RESULTS, batch: str | None = None, snippets: bool = True) -> DataFrame:
-        return search.search(self.store.read(), query, k, batch, snippets)
+        return search.search_postings(self.store.postings(), self.store.read(), query, k, batch, snippets)
 
     def preview(self, path: str, query: str) -> DataFrame:
         """Snippet and highlight spans of one document."""

@@ -47,10 +47,10 @@ class VersionedTarget:
         finally:
             stream.close()
 
-    def publish(self, run: str, df: DataFrame, replaces: bool = False) -> bool:
+    def publish(self, run: str, df: DataFrame, replaces: bool = False, beside: dict[str, DataFrame] | None = None) -> bool:
         """Writes ``df`` and makes it visible as the version of ``run``; False if ``run`` is already there.
 
-        Of two writers that race for the same version number one fails on the rename and nothing of
+        Tables ``beside`` it become visible with it. Of two writers that race for the same version number one fails on the rename and nothing of
         it is seen.
         """
         done = self.manifests()
@@ -58,9 +58,11 @@ class VersionedTarget:
             return False
         data = f"data/{len(done):08d}-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{data}")
+        for name, other in (beside or {}).items():
+            other.write.parquet(f"{self.root}/{data}-{name}")
         staged = self._path(f"_staged/{uuid.uuid4().hex}.json")
         out = self._fs.create(staged, False)
-        out.write(bytearray(json.dumps({"run": run, "data": data, "replaces": replaces}).encode()))
+        out.write(bytearray(json.dumps({"run": run, "data": data, "replaces": replaces, "beside": sorted(beside or {})}).encode()))
         out.close()
         self._fs.mkdirs(self._path("_published"))
         final = self._path(f"_published/{len(done):08d}.json")
@@ -68,6 +70,13 @@ class VersionedTarget:
             raise RuntimeError(f"version {len(done)} was published by another writer")
         return True
 
+    def latest(self, name: str, schema: str) -> DataFrame | None:
+        """The table ``name`` beside the last version; None if there is none."""
+        found = self.manifests()
+        if not found or name not in found[-1].get("beside", []):
+            return None
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{found[-1]['data']}-{name}")
+
     def read(self, kind: str = "state") -> DataFrame:
         """``state``: rows since the last compaction; ``deltas``: what every run published."""
         found = self.manifests()

@@ -16,12 +16,14 @@ from pyspark.sql import types as T
 
 from papersluice.functions.router import OTHER
 from papersluice.operators.increments import VersionedTarget
+from papersluice.operators.search import build_postings
 
 MAX_CHARS = 4 * 1024 * 1024
 MAX_FILE_BYTES = 50 * 1024 * 1024
 MAX_ERRORS_SHOWN = 200
 
 ADDED, UPDATED, SKIPPED, REMOVED, KEPT = "added", "updated", "skipped", "removed", "kept"
+POSTINGS_SCHEMA = "field string, term string, path string, positions array<int>, tf int, n_terms int"
 DOC_SCHEMA = "path string, filename string, filetype string, batch string, size bigint, modified_ticks bigint, content string"
 
 
@@ -137,10 +139,11 @@ def batch_summary(batches: DataFrame, docs: DataFrame) -> DataFrame:
 
 @dataclass
 class IndexStore:
-    """Versions of the documents table in a shared folder.
+    """Versions of the documents and their postings in a shared folder.
 
     Each commit is a whole new version, published by one rename; readers keep the version they
-    opened. A missing store reads as an empty index.
+    opened. A missing store reads as an empty index. Postings lie sorted by term, so a query's terms
+    are found by the row groups' statistics.
     """
 
     spark: SparkSession
@@ -152,9 +155,23 @@ class IndexStore:
     def read(self) -> DataFrame:
         return self._target.read()
 
-    def commit(self, run: str, docs: DataFrame) -> bool:
-        """False if ``run`` was committed before. Rows lie sorted by path in files of their own ranges."""
-        return self._target.publish(run, docs.select(*self._target.schema.names), replaces=True)
+    def postings(self) -> DataFrame:
+        kept = self._target.latest("postings", POSTINGS_SCHEMA)
+        return build_postings(self.read()) if kept is None else kept
+
+    def commit(self, run: str, docs: DataFrame, postings: DataFrame | None = None) -> bool:
+        """False if ``run`` was committed before. ``postings``: of ``docs``; built if not given."""
+        docs = docs.select(*self._target.schema.names)
+        made = build_postings(docs) if postings is None else postings
+        ordered = made.select(*[c.split()[0] for c in POSTINGS_SCHEMA.split(", ")]).repartitionByRange("term", "path").sortWithinPartitions("term", "path")
+        return self._target.publish(run, docs, replaces=True, beside={"postings": ordered})
 
     def count(self) -> int:
         return self.read().count()
+
+
+def apply_to_postings(postings: DataFrame, actions: DataFrame, documents: DataFrame) -> DataFrame:
+    """Postings after a run: only those of removed and replaced documents go, only new documents are analyzed."""
+    fresh = documents.where("ok")
+    out = actions.where(F.col("action") == REMOVED).select("path").union(fresh.select("path")).distinct()
+    return postings.join(out, "path", "left_anti").select("field", "term", "path", "positions", "tf", "n_terms").unionByName(build_postings(fresh))

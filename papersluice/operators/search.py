@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from papersluice.functions.text import from_ticks, snippet, tokens
 from papersluice.plans.query import ANALYZED, MUST, MUST_NOT, Clause, parse_lenient, scored
+from papersluice.session import BROADCAST_ROWS
 
 MAX_RESULTS = 500
 FIELDS = ("path", "filename", "filetype", "batch", "size", "modified_ticks")
@@ -159,7 +160,7 @@ def build_postings(docs: DataFrame) -> DataFrame:
     return exploded.groupBy("path", "field", "term", "n_terms").agg(F.sort_array(F.collect_list("pos")).alias("positions")).select("field", "term", "path", "positions", F.size("positions").alias("tf"), "n_terms")
 
 
-def search_postings(postings: DataFrame, docs: DataFrame, query: str | None, k: int = MAX_RESULTS, batch: str | None = None) -> DataFrame:
+def search_postings(postings: DataFrame, docs: DataFrame, query: str | None, k: int = MAX_RESULTS, batch: str | None = None, snippets: bool = False) -> DataFrame:
     """``search`` for queries of terms and phrases over an index; other kinds need ``search``.
 
     Only the postings of the query's terms are read (the filter reaches the scan and, with postings
@@ -168,7 +169,7 @@ def search_postings(postings: DataFrame, docs: DataFrame, query: str | None, k:
     """
     root = parse_lenient(query)
     if root is not None and not _only_terms(root):
-        return search(docs, query, k, batch)
+        return search(docs, query, k, batch, snippets)
     terms = sorted({t for c in _leaves(root) for t in c.terms}) if root else []
     hits = postings.where(F.col("term").isin(terms))
     n = docs.count()
@@ -180,7 +181,12 @@ def search_postings(postings: DataFrame, docs: DataFrame, query: str | None, k:
     joined = docs.select(*FIELDS).join(ranked, "path")
     if batch:
         joined = joined.where(F.col("batch") == batch)
-    return joined.orderBy(F.desc("score"), "path").limit(k).select(*_stored(), "score")
+    best = joined.orderBy(F.desc("score"), "path").limit(k).select(*_stored(), "score")
+    if not snippets:
+        return best
+    # Contents are read for the k results only.
+    texts = docs.select("path", snippet(F.col("content"), query or "").alias("snippet"))
+    return texts.join(F.broadcast(best) if k <= BROADCAST_ROWS else best, "path").select(*best.columns, "snippet").orderBy(F.desc("score"), "path")
 
 
 def _leaves(c: Clause) -> list[Clause]:

@@ -251,6 +251,18 @@ def test_store(spark, tmp_path):
     reader = store.read()
     store.commit("2", docs(spark, ("b", "y"), ("c", "z")))
     assert reader.count() == 1 and store.count() == 2
+    assert {r.term for r in store.postings().collect()} == {"b", "c", "y", "z"}
+    plan = store.postings().where("term IN ('y')")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "term" in plan.split("PushedFilters")[1][:80]
+
+
+def test_postings_follow_changes(spark):
+    have = docs(spark, ("a", "x one"), ("b", "y two"), ("c", "z"))
+    actions = spark.createDataFrame([("/d/a", "updated"), ("/d/b", "removed"), ("/d/c", "skipped"), ("/d/n", "added")], "path string, action string")
+    fresh = docs(spark, ("a", "x three"), ("n", "new")).withColumns({"ok": F.lit(True), "unsupported": F.lit(False), "error": F.lit(None).cast("string")})
+    after = index.apply_changes(have, actions, fresh)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(index.apply_to_postings(search.build_postings(have), actions, fresh)) == rows(search.build_postings(after))
 
 
 def test_skewed_joins(spark):
