@@ -145,26 +145,23 @@ _DOT = r"(?:\.|\s?[\[({<]\s?(?:dot|punto|punkt|point|точка)\s?[\])}>]\s?|\s
 _EMAIL = _re(rf"(?<![A-Za-z0-9._+%-])[A-Za-z0-9][A-Za-z0-9._+%-]*(?i:{_AT})[A-Za-z][A-Za-z0-9-]*(?:(?i:{_DOT})[A-Za-z0-9-]+?)*(?i:{_DOT})(?:[a-z]{{2,12}}(?![a-z])|[A-Z]{{2,12}}(?![A-Z]))")
 _FILE_END = _re(r"(?i)\.(?:png|jpe?g|gif|svg|webp|bmp|tiff?|ico|css|js|py|java|txt|docx?|xlsx?|pptx?|pdf|zip)$")
 
-_N = r"(?<![\w.+=#-])(?<!\d[ /:])"
-_E = r"(?![\d])(?![.:/-]\d)"
 _PHONES = [
     # international prefix
-    (_re(r"(?<![\w=#])(?:\+|00)(?:1|7|33|34|39|41|43|44|49|86)[\s./()-]*(?:\(0\))?(?:[\s./()-]*\d){8,11}(?!\d)"), 0.6),
+    (_re(r"(?<![A-Za-z0-9=#])(?:\+|00)(?:1|7|33|34|39|41|43|44|49|86)[\s./()-]*(?:\(0\))?(?:[\s./()-]*\d){8,11}(?!\d)"), 0.6),
     # North America
     (_re(r"(?<![\d.+=#_-])(?<![A-Za-z])(?:1[\s.-])?(?:\(\d{3}\)\s?|\d{3}[\s.-])\d{3}[\s.-]\d{4}(?![\d.-]\d|\d)"), 0.5),
-    (_re(r"(?<![\w.+=#-])2025550\d{3}(?!\d)"), 0.5),
-    (_re(r"(?<![\w.+=#-])[2-9]\d{2}[2-9]\d{6}(?!\d)"), 0.2),
+    (_re(r"(?<![A-Za-z0-9_.+=#-])[2-9]\d{2}[2-9]\d{6}(?!\d)"), 0.2),
     # Britain, Germany
-    (_re(r"(?<![\w.+=#-])0\d{2,4}[\s/-]+\d{3,4}[\s-]?\d{2,5}(?:[\s-]\d{2,4})?(?!\d)"), 0.5),
-    (_re(r"(?<![\w.+=#-])\(0\d{2,4}\)[\s/-]*\d{3,4}[\s-]?\d{3,5}(?!\d)"), 0.5),
+    (_re(r"(?<![A-Za-z0-9_.+=#-])0\d{2,4}[\s/-]+\d{3,4}[\s-]?\d{2,5}(?:[\s-]\d{2,4})?(?!\d)"), 0.5),
+    (_re(r"(?<![A-Za-z0-9_.+=#-])\(0\d{2,4}\)[\s/-]*\d{3,4}[\s-]?\d{3,5}(?!\d)"), 0.5),
     (_re(r"(?<![A-Za-z0-9.+=#_-])0\d{2,3}[\s-]?\d{7,8}(?!\d)"), 0.35),
     # France
-    (_re(r"(?<![\w.+=#-])0[1-9](?:[\s.-]?\d{2}){4}(?!\d)"), 0.35),
-    (_re(r"(?<![\w.+=#-])0[1-9](?:[.]\d{2}){4}(?!\d)"), 0.5),
+    (_re(r"(?<![A-Za-z0-9_.+=#-])0[1-9](?:[\s.-]?\d{2}){4}(?!\d)"), 0.35),
+    (_re(r"(?<![A-Za-z0-9_.+=#-])0[1-9](?:[.]\d{2}){4}(?!\d)"), 0.5),
     # Spain
-    (_re(r"(?<![\w.+=#-])[5-9]\d{2}[\s.]\d{2,3}[\s.]\d{2,3}(?:[\s.]\d{2,3})?(?!\d)"), 0.2),
+    (_re(r"(?<![A-Za-z0-9_.+=#-])[5-9]\d{2}[\s.]\d{2,3}[\s.]\d{2,3}(?:[\s.]\d{2,3})?(?!\d)"), 0.2),
     # Russia
-    (_re(r"(?<![\w.+=#-])8?\s?\(\d{3,5}\)\s?\d{1,3}-\d{2}-\d{2}(?!\d)"), 0.5),
+    (_re(r"(?<![A-Za-z0-9_.+=#-])8?\s?\(\d{3,5}\)\s?\d{1,3}-\d{2}-\d{2}(?!\d)"), 0.5),
     # China: mobile
     (_re(r"(?<![A-Za-z0-9.+=#_-])1[3-9]\d[\s-]?\d{4}[\s-]?\d{4}(?!\d)"), 0.5),
 ]
