@@ -86,6 +86,12 @@ class Engine:
         self._stop.set()
         self.spark.sparkContext.cancelJobGroup(self._group)
 
+    def progress(self) -> tuple[int, int]:
+        """Tasks done and tasks in all of the run's jobs that are going on."""
+        tracker = self.spark.sparkContext.statusTracker()
+        stages = [s for j in tracker.getJobIdsForGroup(self._group) if (info := tracker.getJobInfo(j)) for i in info.stageIds if (s := tracker.getStageInfo(i))]
+        return sum(s.numCompletedTasks for s in stages), sum(s.numTasks for s in stages)
+
     # --- scanning
 
     def scan(self, root: str, name: str = "", include_content: bool = True, exclude: Sequence[str] = (), full_rebuild: bool = False) -> RunResult:

@@ -23,6 +23,11 @@ CONTEXT = 40
 TICKS_AT_EPOCH_US = 62_135_596_800_000_000
 
 
+def lower(text: Column) -> Column:
+    """Lower case, one character for one, so that offsets hold: the dotted capital I gives a plain i."""
+    return F.lower(F.translate(text, "İ", "i"))
+
+
 def tokens(text: Column) -> Column:
     """Index terms in order: words in lower case; a run of n > 1 CJK characters gives its n - 1 overlapping pairs, a single one itself.
 
@@ -33,7 +38,7 @@ def tokens(text: Column) -> Column:
 
     def split(r: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))
-        return F.when(r.rlike(f"^[{CJK}]") & (F.length(r) > 1), pairs).otherwise(F.array(F.lower(r)))
+        return F.when(r.rlike(f"^[{CJK}]") & (F.length(r) > 1), pairs).otherwise(F.array(lower(r)))
 
     return F.flatten(F.transform(runs, split))
 
@@ -47,13 +52,13 @@ def analyze(text: str) -> list[str]:
             if re.match(f"[{cjk}]", run):
                 out.extend([run] if len(run) == 1 else [run[i : i + 2] for i in range(len(run) - 1)])
             else:
-                out.extend(w.lower() for w in "".join(c if unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nd" else " " for c in run).split())
+                out.extend(w.replace("İ", "i").lower() for w in "".join(c if unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nd" else " " for c in run).split())
     return out
 
 
 def highlight_terms(query: str | None) -> list[str]:
     """What to highlight for a query: its runs of letters, digits and CJK characters in lower case, operators and field names included."""
-    return re.findall(r"(?:[^\W_]|[⺀-\U0010ffff])+", (query or "").lower())
+    return re.findall(r"(?:[^\W_]|[⺀-\U0010ffff])+", (query or "").replace("İ", "i").lower())
 
 
 def collapse_space(text: Column) -> Column:
@@ -69,7 +74,7 @@ def snippet(text: Column, query: str) -> Column:
     found: Column = F.lit(None).cast("int")
     size: Column = F.lit(0)
     flat = collapse_space(F.substring(F.coalesce(text, F.lit("")), 1, SNIPPET_CHARS))
-    low = F.lower(flat)
+    low = lower(flat)
     for t in highlight_terms(query):
         at = F.nullif(F.instr(low, F.lit(t)), F.lit(0))
         size = F.when(found.isNull() & at.isNotNull(), F.lit(len(t))).otherwise(size)
@@ -86,7 +91,7 @@ def window(text: Column, at: Column, size: Column, half: int) -> Column:
 
 def highlight_spans(text: Column, query: str) -> Column:
     """Array of (term, start) of all case-insensitive occurrences of every query term, by term, then place; 1-based."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    low = lower(F.coalesce(text, F.lit("")))
     spans = F.array().cast("array<struct<term:string,start:int>>")
     for t in dict.fromkeys(highlight_terms(query)):
         spans = F.concat(spans, _occurrences(low, t))
@@ -124,3 +129,8 @@ def format_size(size: Column) -> Column:
         .when(size < 1024**3, F.format_string("%.1f MB", size / k**2))
         .when(size.isNotNull(), F.format_string("%.2f GB", size / k**3))
     )
+
+
+def format_modified(ticks_: Column) -> Column:
+    """Day and minute, in UTC; empty if unknown."""
+    return F.coalesce(F.date_format(from_ticks(ticks_), "yyyy-MM-dd HH:mm"), F.lit(""))

@@ -14,7 +14,7 @@ from dataclasses import asdict, dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papersluice.functions.text import CONTEXT, window
+from papersluice.functions.text import CONTEXT, lower, window
 
 MAX_HITS = 1000
 RISKS = ("low", "medium", "high", "critical")
@@ -78,7 +78,7 @@ def _first(text: Column, rule: Rule) -> tuple[Column, Column, Column]:
         lead = rf"(?s)^(.*?)({_unicode(_shift_backreferences(rule.pattern, 2))})"
         hit = text.rlike(_unicode(rule.pattern))
         return hit, F.length(F.regexp_extract(text, lead, 1)) + 1, F.length(F.regexp_extract(text, lead, 2))
-    at = F.instr(F.lower(text), F.lit(rule.pattern.lower()))
+    at = F.instr(lower(text), F.lit(rule.pattern.replace("İ", "i").lower()))
     return at > 0, at, F.lit(len(rule.pattern))
 
 

@@ -15,7 +15,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papersluice.functions.text import from_ticks, snippet, tokens
+from papersluice.functions.text import format_modified, format_size, from_ticks, snippet, tokens
 from papersluice.plans.query import ANALYZED, MUST, MUST_NOT, Clause, parse_lenient, scored
 from papersluice.session import BROADCAST_ROWS
 
@@ -242,3 +242,11 @@ def _evaluate_group(clause: Clause, stats: _Stats) -> tuple[Column, Column]:
     for m, s in positive:
         score, hits = score + F.when(m, s).otherwise(0.0), hits + m.cast("int")
     return match, score * hits / F.lit(float(max(1, len(positive)))) * clause.boost
+
+
+def present(results: DataFrame) -> DataFrame:
+    """Results as they are shown: size in B to GB, modified to the minute, score with two decimals."""
+    return results.select(
+        "path", "filename", "filetype", format_size(F.col("size")).alias("size"), format_modified(F.col("modified_ticks")).alias("modified"),
+        F.format_string("%.2f", "score").alias("score"),
+    )

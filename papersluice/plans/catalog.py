@@ -316,3 +316,65 @@ _register(
 )
 _register("filename_only_mode", f"WITH {DOCS} SELECT path, '{router.OTHER}' AS filetype, '' AS content FROM docs", lambda d: _changes(d, include_content=False).select("path", "filetype", "content"))
 _register("truncate_maxchars", f"WITH {DOCS} SELECT path, CASE WHEN ext IN ({_EXTS}) THEN substr(coalesce(content, ''), 1, 64) ELSE '' END AS content FROM docs", lambda d: _changes(d, max_chars=64).select("path", "content"))
+
+
+# --- files, as tables of bytes
+
+from papersluice.functions.encoding import decode  # noqa: E402
+from papersluice.functions.extract.package import Package  # noqa: E402
+from papersluice.plans import samples  # noqa: E402
+from papersluice.sources.files import decode_table  # noqa: E402
+
+_SAMPLES = {
+    "a.docx": (samples.docx, "First line\tafter tab\nsecond\nthird 预算\na note\ntop"), "b.xlsx": (samples.xlsx, "name\tparts\n\t12.5\tinline\n\n"),
+    "c.pptx": (samples.pptx, "slide 1\nslide 2\nslide 10\n"), "d.wps": (samples.docx, "First line\tafter tab\nsecond\nthird 预算\na note\ntop"), "e.ofd": (samples.ofd, "second\ntenth\n"),
+    "f.doc": (samples.doc, "宽字符 text\nnarrow result end\t"), "g.xls": (samples.xls, "名称\tamount\n12345.5\t3/15/23\n7\n"), "h.ppt": (samples.ppt, "标题 one正文正文正文正文"),
+    "i.wps": (samples.wps, "项目计划书 第一版\n内部评审通过"), "j.pdf": (samples.pdf, "Hello (world)\n"), "k.zip": (lambda: samples.package({"in/a.txt": "text", "b.bin": "x"}), "── b.bin ──\n\n── in/a.txt ──\ntext\n"),
+    "l.exe": (lambda: b"MZ", None), "m.docx": (lambda: b"PK damaged", None), "n.txt": (lambda: "国标编码的文本内容".encode("gb18030"), "国标编码的文本内容"), "o.doc": (lambda: samples.doc(True), None),
+}
+
+
+def _sql_text(s: str | None) -> str:
+    return "NULL" if s is None else "'" + s.replace("'", "''") + "'"
+
+
+def _sample_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(n, router.extension(n), bytearray(f())) for n, (f, _) in _SAMPLES.items()], "path string, ext string, bytes binary")
+
+
+@query("extract_formats", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {str(t is not None).lower()}, {_sql_text(t)}, '{router.label(router.extension(n))}')" for n, (_, t) in _SAMPLES.items()) + ") t(path, ok, text, label)")
+def extract_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode_table(_sample_table(spark), index.MAX_CHARS).select("path", "ok", "text", "label")
+
+
+_ENCODED = [("目录与文件，全部为中文。", c, n) for c, n in (("utf-8", "UTF-8"), ("utf-8-sig", "UTF-8"), ("gb18030", "GB18030"), ("utf-16-le", "UTF-16LE"), ("utf-16-be", "UTF-16BE"))]
+_ENCODED += [("plain ascii", c, n) for c, n in (("ascii", "ASCII"), ("utf-16-le", "UTF-16LE"), ("utf-16-be", "UTF-16BE"), ("utf-32", "UTF-32LE"))]
+
+
+@query("decode_encodings", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', '{n}')" for i, (t, _, n) in enumerate(_ENCODED)) + ") t(id, text, encoding)")
+def decode_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark.createDataFrame([(i, bytearray(t.encode(c))) for i, (t, c, _) in enumerate(_ENCODED)], "id int, bytes binary")
+    return raw.select("id", F.udf(lambda b: tuple(decode(bytes(b))), "struct<text string, encoding string>", useArrow=True)("bytes").alias("d")).select("id", "d.*")
+
+
+@query("zip_entries_listed", "SELECT * FROM (VALUES ('a.txt', 500, 8, false), ('b.txt', 1, 0, false), ('目录/', 0, 8, true)) t(name, size, method, is_directory)")
+def zip_entries_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = Package(samples.package({"b.txt": "2", "a.txt": "1" * 500, "目录/": ""}, stored=("b.txt",))).entries
+    return spark.createDataFrame([(e.name, e.size, e.method, e.is_directory) for e in entries], "name string, size int, method int, is_directory boolean")
+
+
+_INLINE = ["中a文b 报告v2", "哈哈哈, 单", "foo-bar １２ x", "𠮷野家 한국어 カタカナ", "", "İstanbul ÀÉ"]
+
+
+@query("tokenize_cjk_inline", f"WITH t AS (SELECT unnest([{', '.join(_sql_text(x) for x in _INLINE)}]) AS x) SELECT x, array_to_string({TOKENS('x')}, '|') AS terms FROM t")
+def tokenize_cjk_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in _INLINE], "x string").select("x", F.array_join(text.tokens(F.col("x")), "|").alias("terms"))
+
+
+_register(
+    "present_results",
+    f"""WITH r AS ({search_sql("voucher receipt", 100)}) SELECT r.path, r.filename, r.filetype,
+CASE WHEN r.size < 1024 THEN r.size::VARCHAR || ' B' WHEN r.size < 1048576 THEN printf('%.1f KB', r.size / 1024.0::DOUBLE) ELSE printf('%.1f MB', r.size / 1048576.0::DOUBLE) END AS size,
+strftime(d.modified, '%Y-%m-%d %H:%M') AS modified, printf('%.2f', r.score) AS score FROM r JOIN documents d ON r.path = d.path""",
+    lambda d: search.present(search.search(d, "voucher receipt", 100)),
+)

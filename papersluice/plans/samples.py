@@ -1,4 +1,4 @@
-"""Files in the formats that the extractors read, put together byte by byte."""
+"""Small files in the formats that the extractors read, put together byte by byte, for queries and tests."""
 
 import io
 import struct

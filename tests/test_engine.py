@@ -1,7 +1,7 @@
 import os
 import threading
 
-import fixtures as fx
+from papersluice.plans import samples as fx
 import pytest
 
 from papersluice.api import Busy, Engine

@@ -1,7 +1,7 @@
 import struct
 import zipfile
 
-import fixtures as fx
+from papersluice.plans import samples as fx
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
