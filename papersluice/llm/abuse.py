@@ -25,7 +25,7 @@ FIT_DOCUMENTS = 4000
 BUCKETS = 1 << 18
 ORDERS = (1, 2, 3, 4, 5)
 #: Rounds of choosing sentences, steps of the fit in each, and its settings.
-ROUNDS, STEPS, RATE, PENALTY = 4, 40, 0.1, 1e-5
+ROUNDS, STEPS, RATE, PENALTY = 3, 24, 0.1, 1e-5
 SMOOTHING = 2.0
 #: Weight of a chosen sentence against one of a good document.
 CHOSEN_WEIGHT = 3.0
