@@ -2,7 +2,7 @@
 
 ``search`` evaluates a query straight on a documents table: one pass gathers the statistics (a
 single row), a second one matches, scores and keeps the best k; nothing is shuffled but the k rows
-of each task. ``build_postings`` and ``search_postings`` do the same over an inverted index, where
+of each task, and only documents that hold a term's characters at all are analyzed. ``build_postings`` and ``search_postings`` do the same over an inverted index, where
 only the rows of the query's terms are read.
 
 Documents have: path, filename, filetype, batch, size, modified_ticks, content.
@@ -15,7 +15,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papersluice.functions.text import format_modified, format_size, from_ticks, snippet, tokens
+from papersluice.functions.text import format_modified, format_size, from_ticks, lower, snippet, tokens
 from papersluice.plans.query import ANALYZED, MUST, MUST_NOT, Clause, parse_lenient, scored
 from papersluice.session import BROADCAST_ROWS
 
@@ -124,21 +124,39 @@ def search(docs: DataFrame, query: str | None, k: int = MAX_RESULTS, batch: str
     root = parse_lenient(query)
     base = docs.select(*FIELDS, "content")
     if root is None:
-        stats, match, score = _Stats(0, {}), F.lit(False), F.lit(0.0)
+        match, score = F.lit(False), F.lit(0.0)
     else:
-        # Unfolding an array of one struct keeps the optimizer from putting the analysis into every place its result is used.
-        analyzed = base.select("*", F.inline(F.array(F.struct(*[tokens(F.col(n)).alias(f"t_{n}") for n in ANALYZED]))))
         wanted = sorted({(n, t) for c in scored(root) for n in _fields(c) if n in ANALYZED for t in c.terms})
-        row = analyzed.agg(F.count("*"), *[F.sum(F.array_contains(f"t_{n}", t).cast("bigint")) for n, t in wanted]).first()
-        stats = _Stats(row[0], {_key(n, t): v or 0 for (n, t), v in zip(wanted, row[1:])})
+        # Unfolding an array of one struct keeps the optimizer from putting the analysis into every place its result is used.
+        analysis = F.inline(F.array(F.struct(*[tokens(F.col(n)).alias(f"t_{n}") for n in ANALYZED])))
+        base = (base.where(_possible(wanted)) if _only_scored(root) else base).select("*", analysis)
+        total = docs.select(F.count("*")).first()[0] if wanted else 0
+        having = base.select(*[F.sum(F.array_contains(f"t_{n}", t).cast("bigint")) for n, t in wanted]).first() if wanted else ()
+        stats = _Stats(total, {_key(n, t): v or 0 for (n, t), v in zip(wanted, having)})
         match, score = _evaluate(root, stats)
-        base = analyzed
     if batch:
         base = base.where(F.col("batch") == batch)
     best = base.where(match).withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), "path").limit(k)
     return best.select(*_stored(), "score", *([snippet(F.col("content"), query or "").alias("snippet")] if snippets else []))
 
 
+def _only_scored(clause: Clause) -> bool:
+    """Whether a match needs one of the scored terms."""
+    if clause.kind != "group":
+        return clause.kind in ("term", "phrase")
+    return all(_only_scored(c) for c in clause.clauses if c.occur != MUST_NOT)
+
+
+def _possible(wanted: list[tuple[str, str]]) -> Column:
+    """Whether a document holds some term at all, as a run of characters: far cheaper than analyzing it."""
+    out = F.lit(False)
+    for n in sorted({n for n, _ in wanted}):
+        low = lower(F.coalesce(F.col(n), F.lit("")))
+        for t in sorted({t for m, t in wanted if m == n}):
+            out = out | low.contains(t)
+    return out
+
+
 def _stored() -> list[Column]:
     return [
         *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("path", "filename", "filetype", "batch")],
