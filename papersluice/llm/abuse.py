@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from papersluice.llm.terms import IDEOGRAPH, WORD, chars
 
 #: Labelled documents from which the classifier is fitted.
-FIT_DOCUMENTS = 4000
+FIT_DOCUMENTS = 3000
 #: Hash buckets of n-grams, and their lengths.
 BUCKETS = 1 << 18
 ORDERS = (1, 2, 3, 4, 5)
@@ -51,6 +51,14 @@ _ENDS = np.array(sorted(ord(c) for c in ".!?。！？;；:："), np.uint32)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _sums(index: np.ndarray, values: np.ndarray, size: int, step: int = 1 << 20) -> np.ndarray:
+    """np.bincount with weights, piece by piece: it would widen whole arrays."""
+    out = np.zeros(size)
+    for lo in range(0, len(index), step):
+        out += np.bincount(index[lo : lo + step], values[lo : lo + step], size)
+    return out
+
+
 class Sentences:
     """The sentences of a batch of texts as arrays: buckets of n-grams, and the sentence each belongs to."""
 
@@ -128,7 +136,7 @@ class Sentences:
 
     def sums(self, weights: np.ndarray) -> np.ndarray:
         """For each sentence the weights of its n-grams, over the root of their number (and SHORT, so that a few can't carry a short one)."""
-        total = np.bincount(self.whose, weights[self.grams], self.count)
+        total = _sums(self.whose, weights[self.grams], self.count)
         return (total / np.sqrt(self.size + SHORT)).astype(np.float32)
 
 
@@ -172,8 +180,7 @@ class AbuseModel:
 
     @staticmethod
     def _ratio(s: Sentences, chosen: np.ndarray, good: np.ndarray) -> np.ndarray:
-        p = np.bincount(s.grams[chosen[s.whose]], minlength=BUCKETS).astype(np.float64)
-        q = np.bincount(s.grams[good[s.whose]], minlength=BUCKETS).astype(np.float64)
+        p, q = (_sums(s.grams, side[s.whose].astype(np.float32), BUCKETS) for side in (chosen, good))
         # Each side is smoothed by its share of the n-grams, so that one seen on neither side says nothing.
         a, b = p.sum(), q.sum()
         ratio = np.log((p + SMOOTHING * a / (a + b)) / a) - np.log((q + SMOOTHING * b / (a + b)) / b)
@@ -195,9 +202,9 @@ class AbuseModel:
         w, b = np.full(len(columns), 0.5, np.float32), -3.0
         m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
         for t in range(1, STEPS + 1):
-            z = np.bincount(whose, x * w[grams], s.count) + b
+            z = _sums(whose, x * w[grams], s.count) + b
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * side
-            gw = np.bincount(grams, x * g[whose], len(columns)).astype(np.float32) + PENALTY * w
+            gw = _sums(grams, x * g[whose].astype(np.float32), len(columns)).astype(np.float32) + PENALTY * w
             gb = g.sum()
             m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
             mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
