@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papersluice.llm.terms import IDEOGRAPH, WORD, chars
+from papersluice.llm.terms import IDEOGRAPH, WORD, chars, portions
 
 #: Labelled documents from which the classifier is fitted.
 FIT_DOCUMENTS = 3000
@@ -255,7 +255,7 @@ def score_documents(docs: DataFrame, labels: DataFrame | None = None, model: Abu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            score = np.concatenate([np.zeros(0), *(m.scores(b.column("text").slice(at, 512).to_pylist()) for at in range(0, b.num_rows, 512))])
+            score = np.concatenate([np.zeros(0), *(m.scores(x.to_pylist()) for x in portions(b.column("text"), 512))])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(score), pa.array(score > FLAG_FROM)], names=[*names, "score", "flagged"])
 
     return wanted.mapInArrow(run, f"{schema}, score double, flagged boolean")

@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from papersluice.llm.terms import portions
+
 #: Folder of the public vocabularies.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -280,21 +282,11 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                ids, bounds = encoder.encode(part.column(1).to_pylist())
-                for lo, hi in _chunks(bounds):
-                    off = pa.array(bounds[lo : hi + 1] - bounds[lo], pa.int32())
-                    lists = pa.ListArray.from_arrays(off, pa.array(ids[bounds[lo] : bounds[hi]], pa.int32()))
-                    yield pa.RecordBatch.from_arrays([part.column(0).slice(lo, hi - lo), lists], names=[id_col, "ids"])
+            at = 0
+            for part in portions(batch.column(1), 2048):
+                ids, bounds = encoder.encode(part.to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), lists], names=[id_col, "ids"])
+                at += len(part)
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
-
-
-def _chunks(bounds: np.ndarray, most: int = 1 << 24) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``most`` ids (or one row), to keep list offsets within 32 bits."""
-    lo, n = 0, len(bounds) - 1
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + most, "right")) - 1)
-        yield lo, min(hi, n)
-        lo = min(hi, n)

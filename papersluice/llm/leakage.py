@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papersluice.llm.lookalike import skeleton
-from papersluice.llm.terms import chars, term_hashes, terms
+from papersluice.llm.terms import chars, portions, term_hashes, terms
 from papersluice.session import materialize
 
 #: Hash buckets of terms.
@@ -97,8 +97,7 @@ def document_frequency(texts: DataFrame, watched: np.ndarray) -> tuple[np.ndarra
         maybe[(watched >> np.uint64(44)).astype(np.int64)] = True
         count, exact, n = np.zeros(BUCKETS, np.int64), np.zeros(len(watched) + 1, np.int64), 0
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.column(0).slice(at, 1024).to_pylist()
+            for part in (x.to_pylist() for x in portions(b.column(0), 1024)):
                 hashes, bounds = term_hashes(chars(part))
                 owner = np.repeat(np.arange(len(part)), np.diff(bounds))
                 seen = np.zeros((len(part), BUCKETS), bool)
@@ -144,8 +143,8 @@ def randomised_svd(texts: DataFrame, idf: np.ndarray, seed: int = 7) -> np.ndarr
             x = shared.value
             out = np.zeros_like(x)
             for b in batches:
-                for at in range(0, b.num_rows, 256):
-                    ids, bounds = terms(chars(b.column(0).slice(at, 256).to_pylist()), BUCKETS)
+                for part in portions(b.column(0), 256):
+                    ids, bounds = terms(chars(part.to_pylist()), BUCKETS)
                     start, _ = blocks(ids, bounds)
                     if not len(start):
                         continue
@@ -386,13 +385,13 @@ def _search(shared, least: float, item_type: str):
         passages, query, directions = shared.value
         numbers = pa.array(passages.ids)
         for b in batches:
-            item_at, doc_at = [], []
-            for lo in range(0, b.num_rows, 512):
-                texts = b.column(1).slice(lo, 512).to_pylist()
+            item_at, doc_at, lo = [], [], 0
+            for texts in (x.to_pylist() for x in portions(b.column(1), 512)):
                 for doc, near in _near(texts, query, directions, least).items():
                     for i, _ in passages.held(texts[doc], near):
                         item_at.append(i)
                         doc_at.append(lo + doc)
+                lo += len(texts)
             yield pa.RecordBatch.from_arrays([numbers.take(pa.array(item_at, pa.int64())), b.column(0).take(pa.array(doc_at, pa.int64()))], names=["item_id", "doc_id"])
 
     return run

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from papersluice.llm.lookalike import table
 
@@ -50,6 +52,16 @@ def tables(across: bool = False) -> tuple[np.ndarray, np.ndarray]:
     return fold, kind
 
 
+def portions(texts: pa.Array, rows: int, most: int = 1 << 22) -> Iterator[pa.Array]:
+    """Slices of a column of at most ``rows`` rows and ``most`` bytes; a longer text makes a slice of its own."""
+    sizes = np.cumsum(np.concatenate([[0], pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)]))
+    lo, n = 0, len(texts)
+    while lo < n:
+        hi = min(lo + rows, n, max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + most, "right")) - 1))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
+
+
 @dataclass
 class Chars:
     """Folded characters of a batch; text i has those from bounds[i] to bounds[i + 1], a separator last."""
