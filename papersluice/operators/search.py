@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from papersluice.functions.text import format_modified, format_size, from_ticks, lower, snippet, tokens
 from papersluice.plans.query import ANALYZED, MUST, MUST_NOT, Clause, parse_lenient, scored
-from papersluice.session import BROADCAST_ROWS
+from papersluice.session import BROADCAST_ROWS, spread
 
 MAX_RESULTS = 500
 FIELDS = ("path", "filename", "filetype", "batch", "size", "modified_ticks")
@@ -122,7 +122,7 @@ def search(docs: DataFrame, query: str | None, k: int = MAX_RESULTS, batch: str
     come repeated: the index operators keep paths unique.
     """
     root = parse_lenient(query)
-    base = docs.select(*FIELDS, "content")
+    base = spread(docs.select(*FIELDS, "content"))
     if root is None:
         match, score = F.lit(False), F.lit(0.0)
     else:
@@ -173,7 +173,7 @@ def build_postings(docs: DataFrame) -> DataFrame:
     frequent term nor a long document makes a hot partition.
     """
     parts = F.array(*[F.struct(F.lit(n).alias("field"), tokens(F.col(n)).alias("terms")) for n in ANALYZED])  # analyzed once, as above
-    per_field = docs.select("path", F.inline(parts)).withColumn("n_terms", F.size("terms"))
+    per_field = spread(docs.select("path", *ANALYZED)).select("path", F.inline(parts)).withColumn("n_terms", F.size("terms"))
     exploded = per_field.select("path", "field", "n_terms", F.posexplode("terms").alias("pos", "term"))
     return exploded.groupBy("path", "field", "term", "n_terms").agg(F.sort_array(F.collect_list("pos")).alias("positions")).select("field", "term", "path", "positions", F.size("positions").alias("tf"), "n_terms")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from papersluice.operators.increments import replay_runs
 from papersluice.operators.snapshot_diff import snapshot_changes
-from papersluice.session import load, work_dir
+from papersluice.session import load, spread, work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -125,8 +125,8 @@ _register(
     f"WITH {DOCS}, labels AS (SELECT * FROM (VALUES {_LABELS}) t(ext, label)) SELECT d.path, coalesce(l.label, '{router.OTHER}') AS label FROM docs d LEFT JOIN labels l ON d.ext = l.ext",
     lambda d: d.select("path", router.label_of(F.col("ext")).alias("label")),
 )
-_register("tokenize_counts", f"WITH {DOCS}, t AS (SELECT unnest({TOKENS('content')}) AS term FROM docs) SELECT term, count(*) AS n FROM t GROUP BY term", lambda d: d.select(F.explode(text.tokens(F.col("content"))).alias("term")).groupBy("term").agg(F.count("*").alias("n")))
-_register("tokenize_docs", f"WITH {DOCS} SELECT path, md5(array_to_string({TOKENS('content')}, ' ')) AS digest FROM docs", lambda d: d.select("path", F.md5(F.array_join(text.tokens(F.col("content")), " ")).alias("digest")))
+_register("tokenize_counts", f"WITH {DOCS}, t AS (SELECT unnest({TOKENS('content')}) AS term FROM docs) SELECT term, count(*) AS n FROM t GROUP BY term", lambda d: spread(d.select("content")).select(F.explode(text.tokens(F.col("content"))).alias("term")).groupBy("term").agg(F.count("*").alias("n")))
+_register("tokenize_docs", f"WITH {DOCS} SELECT path, md5(array_to_string({TOKENS('content')}, ' ')) AS digest FROM docs", lambda d: spread(d.select("path", "content")).select("path", F.md5(F.array_join(text.tokens(F.col("content")), " ")).alias("digest")))
 _register(
     "postings",
     f"""WITH {DOCS}, p AS (SELECT path, 'content' AS field, {TOKENS('content')} AS terms FROM docs UNION ALL SELECT path, 'filename', {TOKENS('filename')} FROM docs),
@@ -162,8 +162,8 @@ query("search_batch_filter", search_sql("voucher receipt", 500, "(SELECT min(bat
     lambda spark, sf_dir: search.search(documents(spark, sf_dir), "voucher receipt", 500, load(spark, sf_dir, "documents").agg(F.min("batch")).first()[0]).select("path", "filename", "filetype", "batch", "size", "score")
 )
 _register("search_postings", search_sql("+voucher stamped -receipt \"the owner\"", 200), lambda d: search.search_postings(search.build_postings(d), d, "+voucher stamped -receipt \"the owner\"", 200).select("path", "filename", "filetype", "batch", "size", "score"))
-_register("snippet_window", f"WITH {DOCS} SELECT path, {snippet_sql('content', 'that')} AS snippet FROM docs", lambda d: d.select("path", text.snippet(F.col("content"), "that").alias("snippet")))
-_register("snippet_query_order", f"WITH {DOCS} SELECT path, {snippet_sql('content', '编号 the AND voucher')} AS snippet FROM docs", lambda d: d.select("path", text.snippet(F.col("content"), "编号 the AND voucher").alias("snippet")))
+_register("snippet_window", f"WITH {DOCS} SELECT path, {snippet_sql('content', 'that')} AS snippet FROM docs", lambda d: spread(d.select("path", "content")).select("path", text.snippet(F.col("content"), "that").alias("snippet")))
+_register("snippet_query_order", f"WITH {DOCS} SELECT path, {snippet_sql('content', '编号 the AND voucher')} AS snippet FROM docs", lambda d: spread(d.select("path", "content")).select("path", text.snippet(F.col("content"), "编号 the AND voucher").alias("snippet")))
 _register(
     "highlight_spans",
     f"""WITH {DOCS}, s AS (SELECT path, lower(coalesce(content, '')) AS low FROM docs), p AS (SELECT path, t.term, string_split(low, t.term) AS pieces FROM s, (VALUES ('voucher'), ('编号')) t(term)),
