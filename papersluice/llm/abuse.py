@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papersluice.llm.terms import IDEOGRAPH, WORD, chars, portions
+from papersluice.session import spread
 
 #: Labelled documents from which the classifier is fitted.
 FIT_DOCUMENTS = 4000
@@ -248,7 +249,7 @@ def score_documents(docs: DataFrame, labels: DataFrame | None = None, model: Abu
     if model is None:
         model = fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    wanted = docs.select("doc_id", *keep, "text")
+    wanted = spread(docs.select("doc_id", *keep, "text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema if f.name != "text")
     names = [c for c in wanted.columns if c != "text"]
 

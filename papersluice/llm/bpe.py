@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from papersluice.llm.terms import portions
+from papersluice.session import spread
 
 #: Folder of the public vocabularies.
 TOKENIZERS = "/opt/tokenizers"
@@ -289,4 +290,4 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), lists], names=[id_col, "ids"])
                 at += len(part)
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(df.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from papersluice.llm.lookalike import skeleton
 from papersluice.llm.terms import chars, portions, term_hashes, terms
-from papersluice.session import materialize
+from papersluice.session import materialize, spread
 
 #: Hash buckets of terms.
 BUCKETS = 1 << 15
@@ -348,7 +348,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, cosine: float | None = None) -
     least = COSINE if cosine is None else cosine
     wanted = items.select("item_id", "passage", "answer").where("item_id IS NOT NULL AND passage IS NOT NULL AND passage <> ''").dropDuplicates(["item_id", "passage"])
     wanted = wanted.orderBy("item_id", "passage").toPandas()
-    corpus = docs.select("doc_id", "text").where("text IS NOT NULL AND text <> ''")
+    corpus = spread(docs.select("doc_id", "text").where("text IS NOT NULL AND text <> ''"))
     if wanted.empty:
         return spark.createDataFrame([], schema)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papersluice.operators.skew import attach, pairs_within
-from papersluice.session import materialize
+from papersluice.session import materialize, spread
 
 #: Prototype -> characters of other scripts and blocks with its shape.
 LOOKALIKES = {
@@ -107,7 +107,7 @@ def shapes(records: DataFrame) -> DataFrame:
             )
 
     usable = records.select("field", "rec_id", "text").where("rec_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    return usable.mapInArrow(run, f"field string, rec_id {kind}, shape binary, own binary").distinct()
+    return spread(usable).mapInArrow(run, f"field string, rec_id {kind}, shape binary, own binary").distinct()
 
 
 def forms(records: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from papersluice.llm.lookalike import LOOKALIKES, table
+from papersluice.session import spread
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 NEED = 0.5
@@ -341,4 +342,4 @@ def find_personal(records: DataFrame) -> DataFrame:
             )
 
     usable = records.select("field", "rec_id", "text").where("text IS NOT NULL AND text <> ''")
-    return usable.mapInArrow(run, f"field string, rec_id {kind}, kinds array<string>, redacted string").distinct()
+    return spread(usable).mapInArrow(run, f"field string, rec_id {kind}, kinds array<string>, redacted string").distinct()
