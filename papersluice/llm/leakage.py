@@ -46,6 +46,10 @@ HELD_WITH_ANSWER = 0.24
 DISTINCTIVE = 0.02
 #: ... and at most this share of the corpus.
 RARE = 0.01
+#: Share of a passage's distinctive terms from which a stretch of a document counts as a part of it, not as corpus, when RARE is judged.
+PART = 0.2
+#: Pairs of a term's occurrence and a passage that are looked at at once.
+PAIRS_AT_ONCE = 1 << 21
 #: Rarer than this makes no difference.
 RAREST = 0.0001
 #: Length of the stretch of a document in which a passage is looked for, in passage lengths.
@@ -84,15 +88,77 @@ def project(ids: np.ndarray, bounds: np.ndarray, directions: np.ndarray) -> tupl
     return vectors / np.maximum(norm, 1e-9), np.concatenate([owner[joined], owner[alone]])
 
 
-def document_frequency(texts: DataFrame, watched: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """In how many texts each bucket of terms occurs, and each of the ``watched`` terms (sorted 64-bit hashes); the number of texts. Over all rows.
+@dataclass
+class Owners:
+    """Which passages each watched term is distinctive for: term t has the pairs start[t] to start[t + 1], pair k is with ``passage[k]``."""
+
+    start: np.ndarray
+    passage: np.ndarray
+    need: np.ndarray
+    half: np.ndarray
+
+    @classmethod
+    def of(cls, own: Sequence[set[str]], length: Sequence[int], texts: Sequence[str], watched: np.ndarray) -> Owners:
+        """``own``: distinctive terms of each of the passages ``texts``, ``length``: its terms."""
+        listed: list[list[int]] = [[] for _ in watched]
+        for i, t in enumerate(texts):
+            hashes, keys = term_keys([t])
+            for at, ks in zip(np.searchsorted(watched, hashes), keys):
+                if not own[i].isdisjoint(ks):
+                    listed[at].append(i)
+        passage = np.array([i for x in listed for i in x], np.int64)
+        size = np.bincount(passage, minlength=len(own))
+        half = np.array([math.ceil(STRETCH * n / 2) for n in length], np.int64)
+        return cls(np.cumsum([0, *map(len, listed)]), passage, np.maximum(2, np.ceil(PART * size)).astype(np.int64), np.maximum(1, half))
+
+    def parts(self, owner: np.ndarray, at: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the occurrences of watched terms in documents (document, place in it, term; by document): the pairs in stretches that
+        hold a part of their passage, once a document, and the passages of which a document holds a part, once a document."""
+        n = self.start[term + 1] - self.start[term]
+        total = np.cumsum(n)
+        pairs, held = [], []
+        lo = 0
+        while lo < len(term):
+            hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS_AT_ONCE, "right"))
+            first = int(np.searchsorted(owner, owner[min(hi, len(owner) - 1)])) if hi < len(owner) else len(owner)
+            hi = first if first > lo else int(np.searchsorted(owner, owner[lo], "right"))
+            many = n[lo:hi]
+            k = np.repeat(self.start[term[lo:hi]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            doc, place = np.repeat(owner[lo:hi], many), np.repeat(at[lo:hi], many)
+            lo = hi
+            both = doc * len(self.need) + self.passage[k]  # few documents have enough of a passage's terms at all
+            one, back, times = np.unique(both, return_inverse=True, return_counts=True)
+            enough = (times >= self.need[one % len(self.need)])[back]
+            doc, place, k, both = doc[enough], place[enough], k[enough], both[enough]
+            if not len(k):
+                continue
+            _, both = np.unique(both, return_inverse=True)
+            window = place // self.half[self.passage[k]]
+            wide = int(window.max()) + 2
+            stretch = np.concatenate([both * wide + window + 1, both * wide + window])  # each half is in two stretches
+            twice = np.concatenate([k, k])
+            _, stretch = np.unique(stretch, return_inverse=True)
+            distinct = np.unique(stretch * len(self.passage) + twice)
+            times = np.bincount(distinct // len(self.passage), minlength=stretch.max() + 1)
+            whole = times[stretch] >= self.need[self.passage[twice]]
+            doc, twice = np.concatenate([doc, doc])[whole], twice[whole]
+            pairs.append(np.unique(doc * len(self.passage) + twice) % len(self.passage))
+            held.append(np.unique(doc * len(self.need) + self.passage[twice]) % len(self.need))
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *pairs]), np.concatenate([none, *held])
+
+
+def document_frequency(texts: DataFrame, watched: np.ndarray, owners: Owners) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """In how many texts each bucket of terms occurs, and each of the ``watched`` terms (sorted 64-bit hashes); in how many each
+    pair of ``owners`` occurs within a part of its passage, and how many hold a part of each passage; the number of texts. Over all rows.
 
     Each partition counts into arrays of fixed size, so what is shuffled is bounded by their size x partitions.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(watched)
+    shared = texts.sparkSession.sparkContext.broadcast((watched, owners))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        watched = shared.value
+        watched, owners = shared.value
+        within, holding = np.zeros(len(owners.passage), np.int64), np.zeros(len(owners.need), np.int64)
         maybe = np.zeros(1 << 20, bool)
         maybe[(watched >> np.uint64(44)).astype(np.int64)] = True
         count, exact, n = np.zeros(BUCKETS, np.int64), np.zeros(len(watched) + 1, np.int64), 0
@@ -108,18 +174,21 @@ def document_frequency(texts: DataFrame, watched: np.ndarray) -> tuple[np.ndarra
                 place = np.searchsorted(watched, hashes[few])
                 hit = (place < len(watched)) & (watched[np.minimum(place, len(watched) - 1)] == hashes[few])
                 exact += np.bincount(np.unique(owner[few][hit] * (len(watched) + 1) + place[hit]) % (len(watched) + 1), minlength=len(watched) + 1)
-        counts = np.concatenate([count, exact[:-1]])
+                few, place = few[hit], place[hit]
+                pairs, held = owners.parts(owner[few], few - bounds[owner[few]], place)
+                within += np.bincount(pairs, minlength=len(within))
+                holding += np.bincount(held, minlength=len(holding))
+        counts = np.concatenate([count, exact[:-1], within, holding])
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], n))], names=["term", "n"])
 
     rows = texts.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    out, exact = np.zeros(BUCKETS, np.float64), np.zeros(len(watched), np.float64)
     total = int(rows.n[rows.term == -1].sum())
-    low = (rows.term >= 0) & (rows.term < BUCKETS)
-    out[rows.term[low]] = rows.n[low]
-    high = rows.term >= BUCKETS
-    exact[rows.term[high] - BUCKETS] = rows.n[high]
-    return out, exact, total
+    ends = np.cumsum([BUCKETS, len(watched), len(owners.passage), len(owners.need)])
+    counts = np.zeros(ends[-1], np.float64)
+    rows = rows[rows.term >= 0]
+    counts[rows.term] = rows.n
+    return *np.split(counts, ends[:-1]), total
 
 
 def randomised_svd(texts: DataFrame, idf: np.ndarray, seed: int = 7) -> np.ndarray:
@@ -214,6 +283,31 @@ def tokens(text: str) -> list[str]:
     return out
 
 
+def split_tokens(passage: str) -> list[list[str]]:
+    return [tokens(s) for s in _SENTENCE.split(passage) if s]
+
+
+def distinctive(split: Sequence[list[list[str]]]) -> list[set[str]]:
+    """The terms of each passage (sentences of terms) that few of all passages have."""
+    known = [{w for s in p for w in s} for p in split]
+    count = Counter(w for p in known for w in p)
+    most = max(2, DISTINCTIVE * len(known))
+    return [{w for w in p if count[w] <= most and len(w) > 1} for p in known]
+
+
+def shares(own: Sequence[set[str]], owners: Owners, keys: Sequence[Sequence[str]], exact: np.ndarray, within: np.ndarray, holding: np.ndarray, n: int) -> list[dict[str, float]]:
+    """For each passage, the share of the documents that has each of its terms elsewhere than in a part of it."""
+    out: list[dict[str, float]] = [{} for _ in own]
+    for t, ks in enumerate(keys):
+        for k in range(owners.start[t], owners.start[t + 1]):
+            i = int(owners.passage[k])
+            rest = float(exact[t] - within[k]) / max(1.0, n - holding[i])
+            for w in ks:
+                if w in own[i]:
+                    out[i][w] = max(rest, out[i].get(w, 0.0))
+    return out
+
+
 @dataclass
 class Passages:
     """Test passages, ready to be checked against documents."""
@@ -227,21 +321,16 @@ class Passages:
     length: list[int] = field(default_factory=list)
 
     @classmethod
-    def of(cls, ids: Sequence, texts: Sequence[str], answers: Sequence[str | None], all_texts: Sequence[str] | None = None, share: dict[str, float] | None = None) -> Passages:
-        """``all_texts``: every passage, to tell distinctive terms by; ``texts`` if not given. ``share``: of the corpus that has each term of the passages."""
+    def of(cls, ids: Sequence, texts: Sequence[str], answers: Sequence[str | None], own: Sequence[set[str]], share: Sequence[dict[str, float]]) -> Passages:
+        """``own``: distinctive terms of each passage. ``share``: of the corpus, without what holds a part of the passage, that has each of them."""
         self = cls(list(ids))
-        split = [[tokens(s) for s in _SENTENCE.split(t) if s] for t in texts]
-        known = split if all_texts is None else [[tokens(t)] for t in all_texts]
-        count = Counter(w for p in known for w in {w for s in p for w in s})
-        most = max(2, DISTINCTIVE * len(known))
-        share = share or {}
+        split = [split_tokens(t) for t in texts]
         having = defaultdict(list)
         for i, (p, answer) in enumerate(zip(split, answers)):
             self.length.append(sum(map(len, p)))
-            own = {w for s in p for w in s if count[w] <= most and len(w) > 1}
-            # A passage that leaked often makes all its terms frequent alike: that much says nothing about a term.
-            leaked = float(np.percentile([share.get(w, 0.0) for w in own], 25)) if own else 0.0
-            weight = {w: math.log(RARE / max(rest, RAREST)) for w in own if (rest := share.get(w, 0.0) - leaked) < RARE}
+            # A passage that leaked often in parts too small to be told makes all its terms frequent alike: that much says nothing about a term.
+            leaked = float(np.percentile([share[i].get(w, 0.0) for w in own[i]], 25)) if own[i] else 0.0
+            weight = {w: math.log(RARE / max(rest, RAREST)) for w in own[i] if (rest := share[i].get(w, 0.0) - leaked) < RARE}
             p = [[w for w in s if w in weight] for s in p]
             self.weights.append(weight)
             self.sentences.append(p)
@@ -353,8 +442,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, cosine: float | None = None) -
         return spark.createDataFrame([], schema)
 
     watched, keys = term_keys(wanted.passage.tolist())
-    df, exact, n = document_frequency(corpus.select("text"), watched)
-    of_corpus = {k: x / max(1, n) for ks, x in zip(keys, exact) for k in ks}
+    split = [split_tokens(t) for t in wanted.passage]
+    own = distinctive(split)
+    owners = Owners.of(own, [sum(map(len, p)) for p in split], wanted.passage.tolist(), watched)
+    df, exact, within, holding, n = document_frequency(corpus.select("text"), watched, owners)
+    share_of = shares(own, owners, keys, exact, within, holding, n)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32)
     share = max(1, n // FIT_DOCUMENTS)
     sample = corpus.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text")
@@ -364,7 +456,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, cosine: float | None = None) -
     found = None
     for at in range(0, len(wanted), PASSAGES_AT_ONCE):
         part = wanted.iloc[at : at + PASSAGES_AT_ONCE]
-        passages = Passages.of(part.item_id.tolist(), part.passage.tolist(), [a if isinstance(a, str) else None for a in part.answer], wanted.passage.tolist(), of_corpus)
+        passages = Passages.of(part.item_id.tolist(), part.passage.tolist(), [a if isinstance(a, str) else None for a in part.answer], own[at : at + PASSAGES_AT_ONCE], share_of[at : at + PASSAGES_AT_ONCE])
         ids, bounds = terms(chars(part.passage.tolist()), BUCKETS)
         vectors, owner = project(ids, bounds, directions)
         query = np.zeros((len(part), RANK), np.float32)

@@ -242,6 +242,21 @@ def test_leaks(spark):
     assert leakage.find_leaks(d.limit(0), q).count() == leakage.find_leaks(d, q.limit(0)).count() == 0
 
 
+def test_leaks_of_a_part_in_many_documents(spark):
+    rng = random.Random(5)
+    items = passages(30)
+    filler = ["The report was filed by the office on the same day.", "Only 40 percent of the pages were scanned.", "About 12 folders of the draft were copied.", "请注意，附件已归档至登记处。"]
+    two = lambda p: [s for s in p.replace("。", "。\n").replace("them. ", "them.\n").split("\n") if s][:2]
+    body = lambda part: "\n".join(rng.choices(filler, k=4) + part + rng.choices(filler, k=4))
+    docs = [(i, body(two(items[0]) if i % 3 == 0 else two(items[2]) if i % 3 == 1 and i < 60 else [])) for i in range(300)]
+    want = {(0, i) for i in range(0, 300, 3)} | {(2, i) for i in range(1, 60, 3)}
+    q = spark.createDataFrame([(i, p, None) for i, p in enumerate(items)], "item_id bigint, passage string, answer string")
+    found = lambda rows: {tuple(r) for r in leakage.find_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), q, cosine=-1).collect()}
+    assert found(docs) == want
+    few = docs[:1] + [d for d in docs if d[0] % 3 == 2][:59]  # one such document among few
+    assert found(few) == {(0, 0)}
+
+
 def test_terms_match_words():
     ids, bounds = terms(chars(["Alpha beta​gamma", "ALPHA betagamma", "中文字", "", None]), 1 << 20)
     a, b, c, d, e = (ids[x:y].tolist() for x, y in zip(bounds, bounds[1:]))
