@@ -46,6 +46,10 @@ HELD_WITH_ANSWER = 0.24
 DISTINCTIVE = 0.02
 #: ... and at most this share of the corpus.
 RARE = 0.01
+#: Share of the terms of two passages that are the same from which they count as one, when DISTINCTIVE is judged.
+COPY = 0.5
+#: Passages of different kinds that may have a term by which copies are looked up.
+LOOKED_UP = 100
 #: Share of a passage's distinctive terms from which a stretch of a document counts as a part of it, not as corpus, when RARE is judged.
 PART = 0.2
 #: Pairs of a term's occurrence and a passage that are looked at at once.
@@ -287,11 +291,36 @@ def split_tokens(passage: str) -> list[list[str]]:
     return [tokens(s) for s in _SENTENCE.split(passage) if s]
 
 
+def copies(known: Sequence[set[str]]) -> list[int]:
+    """For each passage (set of terms) the number of its group; passages that share at least COPY of their terms with the group's first are one.
+
+    A copy shares its group's rare terms; those that many groups have are not looked up.
+    """
+    groups: dict[frozenset, int] = {}
+    first: list[set[str]] = []
+    having: defaultdict[str, list[int]] = defaultdict(list)
+    out = []
+    for p in known:
+        g = groups.get(frozenset(p))
+        if g is None:
+            votes = Counter(x for w in p if len(having[w]) <= LOOKED_UP for x in having[w])
+            g = next((x for x in votes if len(p & first[x]) >= COPY * len(p | first[x])), None)
+            if g is None:
+                g = len(first)
+                first.append(p)
+                for w in p:
+                    having[w].append(g)
+            groups[frozenset(p)] = g
+        out.append(g)
+    return out
+
+
 def distinctive(split: Sequence[list[list[str]]]) -> list[set[str]]:
-    """The terms of each passage (sentences of terms) that few of all passages have."""
+    """The terms of each passage (sentences of terms) that few of all passages have; copies of a passage are one."""
     known = [{w for s in p for w in s} for p in split]
-    count = Counter(w for p in known for w in p)
-    most = max(2, DISTINCTIVE * len(known))
+    groups = copies(known)
+    count = Counter(w for _, w in {(g, w) for g, p in zip(groups, known) for w in p})
+    most = max(2, DISTINCTIVE * (max(groups, default=0) + 1))
     return [{w for w in p if count[w] <= most and len(w) > 1} for p in known]
 
 
@@ -423,8 +452,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, cosine: float | None = None) -
     """``item_id``, ``doc_id`` of documents that hold an item's passage, whole or about two fifths of it or more.
 
     ``docs``: doc_id, text; ``items``: item_id, passage, answer (which may be null). Null and empty
-    texts and passages match nothing; an item whose passage has no distinctive term (one that many
-    items share word for word) matches nothing; repeated rows count once; empty tables give no
+    texts and passages match nothing; a passage of many items is found for each of them; an item whose
+    passage has no distinctive term matches nothing; repeated rows count once; empty tables give no
     rows. Texts of any length are searched whole, every document is searched, and a document may
     hold any number of passages. ``cosine`` of -1 makes every document a candidate for all items.
 

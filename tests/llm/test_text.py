@@ -257,6 +257,15 @@ def test_leaks_of_a_part_in_many_documents(spark):
     assert found(few) == {(0, 0)}
 
 
+def test_leaks_of_a_passage_of_many_items(spark):
+    items = passages(30)
+    near = items[0].replace("The ", "A ")
+    q = spark.createDataFrame([(i, p, None) for i, p in enumerate(items)] + [(100 + i, items[0] if i % 2 else f"{near} Part {i}.", None) for i in range(15)], "item_id bigint, passage string, answer string")
+    docs = spark.createDataFrame([(i, f"The report was filed.\n{items[i]}\nAbout 12 folders were copied." if i < 2 else "The report was filed.") for i in range(60)], "doc_id bigint, text string")
+    assert {tuple(r) for r in leakage.find_leaks(docs, q, cosine=-1).collect()} == {(0, 0), (1, 1)} | {(100 + i, 0) for i in range(15)}
+    assert leakage.copies([{"a", "b"}, {"a", "b"}, {"c"}, {"a", "b", "d"}, set(), set()]) == [0, 0, 1, 0, 2, 2]
+
+
 def test_terms_match_words():
     ids, bounds = terms(chars(["Alpha beta​gamma", "ALPHA betagamma", "中文字", "", None]), 1 << 20)
     a, b, c, d, e = (ids[x:y].tolist() for x, y in zip(bounds, bounds[1:]))
