@@ -16,6 +16,7 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,7 @@ FIT_DOCUMENTS = 3000
 #: Terms of a block; a window is two blocks, and begins at every block.
 BLOCK = 16
 #: Cosine from which a window makes its document a candidate.
-COSINE = 0.5
+COSINE = 0.0
 #: Share of a passage's distinctive weight that a leak holds.
 HELD = 0.28
 #: Share from which a leak counts if it also holds the item's answer.
@@ -255,6 +256,25 @@ _SENTENCE = regex.compile(r"(?<=[.!?。！？;；])\s*")
 _BREAK = regex.compile(r"\p{Zs}*[\r\n]+[\p{Zs}>|*•\t]*")
 
 
+def _keys(w: str) -> tuple[str, ...]:
+    if w.isascii():
+        return ("".join(sorted(w)),)
+    out, last = [], 0
+    for h in _HAN.finditer(w):
+        if h.start() > last:
+            out.append("".join(sorted(w[last : h.start()])))
+        run = h.group()
+        out.extend(run[i : i + 2] for i in range(len(run) - 1))
+        last = h.end()
+    if last < len(w):
+        out.append("".join(sorted(w[last:])))
+    return tuple(out)
+
+
+#: Words come again and again; those too long to be kept are few.
+_known_keys = lru_cache(1 << 16)(_keys)
+
+
 def tokens(text: str) -> list[str]:
     """Words as keys that don't see the order of their inner letters, and pairs of ideographs, in order.
 
@@ -264,25 +284,19 @@ def tokens(text: str) -> list[str]:
     out: list[str] = []
 
     def add(part: str) -> None:
-        for m in _TOKEN.finditer(part):
-            w, last = m.group(), 0
-            for h in _HAN.finditer(w):
-                if h.start() > last:
-                    out.append("".join(sorted(w[last : h.start()])))
-                run = h.group()
-                out.extend(run[i : i + 2] for i in range(len(run) - 1))
-                last = h.end()
-            if last < len(w):
-                out.append("".join(sorted(w[last:])) if len(w) - last > 1 else w[last:])
+        for w in _TOKEN.findall(part):
+            out.extend(_known_keys(w) if len(w) <= 40 else _keys(w))
 
     last = 0
     for m in _BREAK.finditer(text):
         add(text[last : m.start()])
+        last = m.end()
+        if not m.start() or not _TOKEN.match(text, m.start() - 1):
+            continue
         a = regex.search(r"[\p{L}\p{M}\p{N}]*$", text[max(0, m.start() - 40) : m.start()]).group()
         z = _TOKEN.match(text[m.end() : m.end() + 40])
         if a and z:
             add(_HAN.split(a)[-1] + _HAN.split(z.group())[0] if not (_HAN.match(a[-1]) or _HAN.match(z.group()[0])) else a[-1] + z.group()[0])
-        last = m.end()
     add(text[last:])
     return out
 
@@ -370,7 +384,7 @@ class Passages:
         self.having = dict(having)
         return self
 
-    def held(self, text: str, candidates: set[int] | None = None) -> list[tuple[int, float]]:
+    def held(self, text: str, candidates: np.ndarray | None = None) -> list[tuple[int, float]]:
         """Passages that ``text`` holds (their numbers, and the share held); ``candidates``: which may."""
         every = tokens(text)
         doc = [(at, w) for at, w in enumerate(every) if w in self.having]
@@ -381,7 +395,7 @@ class Passages:
         out = []
         for i, bound in weight.items():
             # The weight of terms in common bounds the subsequence from above, but for terms that a passage repeats.
-            if candidates is not None and i not in candidates or bound < HELD_WITH_ANSWER * self.total[i] / 2:
+            if candidates is not None and not candidates[i] or bound < HELD_WITH_ANSWER * self.total[i] / 2:
                 continue
             own = self.weights[i]
             stretch = self._stretch(own, [x for x in doc if x[1] in own], int(STRETCH * self.length[i]))
@@ -518,15 +532,20 @@ def _search(shared, least: float, item_type: str):
     return run
 
 
-def _near(texts: list[str], query: np.ndarray, directions: np.ndarray, least: float) -> dict[int, set[int]]:
-    """For each text with a window near some passage: the numbers of all passages it is near to."""
+def _near(texts: list[str], query: np.ndarray, directions: np.ndarray, least: float) -> dict[int, np.ndarray]:
+    """For each text with a window near some passage: which passages it is near to."""
     if least <= -1:
-        return {i: set(range(len(query))) for i in range(len(texts))}
+        return dict.fromkeys(range(len(texts)), np.ones(len(query), bool))
     ids, bounds = terms(chars(texts), BUCKETS)
     vectors, owner = project(ids, bounds, directions)
-    out: dict[int, set[int]] = {}
+    order = np.argsort(owner, kind="stable")
+    vectors, owner = vectors[order], owner[order]
+    out: dict[int, np.ndarray] = {}
     for lo in range(0, len(vectors), 8192):
-        near = vectors[lo : lo + 8192] @ query.T >= least
-        for w in np.flatnonzero(near.any(1)):
-            out.setdefault(int(owner[lo + w]), set()).update(np.flatnonzero(near[w]).tolist())
+        of = owner[lo : lo + 8192]
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        near = np.maximum.reduceat(vectors[lo : lo + 8192] @ query.T, first, axis=0) >= least
+        for doc, row in zip(of[first].tolist(), near):
+            if row.any():
+                out[doc] = out[doc] | row if doc in out else row
     return out

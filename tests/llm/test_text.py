@@ -266,6 +266,12 @@ def test_leaks_of_a_passage_of_many_items(spark):
     assert leakage.copies([{"a", "b"}, {"a", "b"}, {"c"}, {"a", "b", "d"}, set(), set()]) == [0, 0, 1, 0, 2, 2]
 
 
+def test_leaks_lose_no_candidate(spark, data):
+    docs, items = (spark.read.parquet(f"{data[: -len('sf0.001')]}sf0.1/{t}.parquet") for t in ("documents", "eval_items"))
+    found = lambda cosine: {tuple(r) for r in leakage.find_leaks(docs, items, cosine).collect()}
+    assert found(None) == found(-1)
+
+
 def test_terms_match_words():
     ids, bounds = terms(chars(["Alpha beta​gamma", "ALPHA betagamma", "中文字", "", None]), 1 << 20)
     a, b, c, d, e = (ids[x:y].tolist() for x, y in zip(bounds, bounds[1:]))
