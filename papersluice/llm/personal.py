@@ -223,17 +223,21 @@ _WESTERN_AFTER = _re(rf"(?<![\p{{L}}\d_@.])(?P<who>{_PERSON})\s(?={_TRAIL}(?!\p{
 #: Leads too common to make any capitalised pair a name: a first name, an initial or capitals have to support them.
 _WEAK_LEAD = _re(r"(?i)^(?:from|to|for|by|as|per|cc|par|por|от|contact|m|d|deliver to)$")
 
-#: The most frequent surnames.
+#: Surnames, the most frequent first.
 _SURNAMES = (
     "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚"
     "邵万钱严覃武戴莫孔向汤常温康施文牛樊葛邢安齐易乔伍庞颜倪庄聂章鲁岳翟殷詹申欧耿关兰焦俞左柳甘祝包宁尚符舒阮柯纪梅童凌毕单季裴霍涂成苗谷曲盛冉翁蓝骆路游靳"
+    "褚卫尤戚喻柏窦奚郎昌凤鲍费廉岑滕邬傅皮卞元卜穆萧湛祁禹狄米贝臧伏谈茅屈闵麻娄刁虞房裘缪宗宣郁杭洪诸吉钮嵇荣荀羊沙权"
 )
+#: Surnames that more often begin a word than a name.
+_AMBIGUOUS = "华水云花乐时平和明计项席强危支管经干解应"
 #: Surnames of two characters.
 _COMPOUND = "欧阳|上官|司马|诸葛|司徒|东方|独孤|南宫|夏侯|皇甫|尉迟|公孙|慕容|长孙|宇文|令狐|端木|百里|呼延|轩辕"
 _HAN_NAME = rf"(?:(?:{_COMPOUND})[一-鿿]{{1,2}}|[{_SURNAMES}][一-鿿]{{1,2}})"
 _HAN_LEAD = r"(?:联系人|经办人|申请人|收件人|签收人|负责人|审批人|审核人|起草人|承办人|寄件人|办理人|值班员|当事人|会签|请转交|转交给?|抄送|姓名|签字|批准人|记录人|核对人|户名|呈报?|致函|委托人|投诉人|举报人|代理人)[：:\s]{0,2}"
 _HAN_NAMES = [
     _re(rf"{_HAN_LEAD}(?P<who>{_HAN_NAME})"),
+    _re(rf"{_HAN_LEAD}(?<=[：:]\s?)(?P<who>[{_AMBIGUOUS}][一-鿿]{{1,2}})(?![一-鿿])"),
     _re(rf"由(?P<who>{_HAN_NAME})(?:签收|签字|签名|代签|经办|审批|负责|转交|领取|确认)"),
     _re(rf"(?<![一-鿿])(?P<who>{_HAN_NAME})(?:同志|先生|女士|小姐|老师|经理|主任|科长|处长|局长|书记|已在|已签|来电|敬上|本人)"),
     _re(rf"[（(](?P<who>{_HAN_NAME})[）)]"),

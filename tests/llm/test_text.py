@@ -144,6 +144,16 @@ def test_redaction(spark):
     assert personal.find_personal(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("c", "傅洪鲍祁米娄屈萧沙费岑华尤项管明时和")
+def test_surnames_behind_a_lead(c):
+    assert [x.kind for x in personal.spans(personal.fold(f"联系人：{c}晓槿；")[0])] == ["name"]
+
+
+@pytest.mark.parametrize("t", ["项目经理", "负责人和经办人", "联系人：项目部经理", "（明细）", "（平方）"])
+def test_words_that_begin_like_a_surname(t):
+    assert personal.spans(personal.fold(t)[0]) == []
+
+
 # --- encoding to ids
 
 
