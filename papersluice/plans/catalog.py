@@ -95,6 +95,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from papersluice.functions import router, text  # noqa: E402
 from papersluice.operators import index, rules, search  # noqa: E402
+from papersluice.operators.order import ranked  # noqa: E402
 from papersluice.plans.oracle import DOCS, TOKENS, search_sql, snippet_sql  # noqa: E402
 
 
@@ -117,6 +118,7 @@ def _register(name: str, sql: str | None, plan: Callable[[DataFrame], DataFrame]
 
 _register("scan_project", f"WITH {DOCS} SELECT path, filename, ext, size, modified_ticks FROM docs", lambda d: d.select("path", "filename", "ext", "size", "modified_ticks"))
 _register("scan_order", f"WITH {DOCS} SELECT path, row_number() OVER (ORDER BY path) AS n FROM docs ORDER BY path LIMIT 100", lambda d: d.select("path").orderBy("path").limit(100).select("path", F.row_number().over(Window.orderBy("path")).alias("n")))
+_register("scan_order_all", f"WITH {DOCS} SELECT path, row_number() OVER (ORDER BY path) AS n FROM docs", lambda d: ranked(d.select("path"), "path"))
 _register("ext_filter", f"WITH {DOCS} SELECT path, ext FROM docs WHERE ext IN ('.txt', '.csv', '.zip')", lambda d: d.where(F.col("ext").isin(".txt", ".csv", ".zip")).select("path", "ext"))
 _register("exclude_dirs", f"WITH {DOCS} SELECT path FROM docs WHERE NOT starts_with(lower(path), '/srv/depot/training/') AND NOT starts_with(lower(path), '/srv/depot/legal/')", lambda d: d.where(~F.lower("path").startswith("/srv/depot/training/") & ~F.lower("path").startswith("/srv/depot/legal/")).select("path"))
 _LABELS = ", ".join(f"('{e}', '{router.label(e)}')" for e in sorted(router.EXTENSIONS))

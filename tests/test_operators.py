@@ -272,3 +272,12 @@ def test_skewed_joins(spark):
     a, b = pairs_within(rows, sizes, ["k"], ["id"], block=64)
     n = a.alias("a").join(b.alias("b"), ["k", "_part"]).where("a.id < b.id").count()
     assert n == rows.groupBy("k").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0]
+
+
+def test_order_of_all_rows(spark):
+    from papersluice.operators.order import ranked
+
+    paths = [f"/srv/{i * 7919 % 1000:04}" for i in range(1000)] + [None]
+    got = [(r.path, r.n) for r in ranked(spark.createDataFrame([(p,) for p in paths], "path string"), "path").orderBy("n").collect()]
+    assert got == [(p, i) for i, p in enumerate([*sorted(paths[:-1]), None], 1)]
+    assert ranked(spark.createDataFrame([], "path string"), "path").count() == 0
