@@ -318,6 +318,10 @@ def test_abuse_model():
     assert (abuse.AbuseModel(texts, [False] * len(texts)).scores(texts) <= abuse.FLAG_FROM).all() and abuse.AbuseModel([], []).scores([""]).shape == (1,)
 
 
+def test_abuse_fit_is_not_cut():
+    assert abuse.ROUNDS >= 4 and abuse.STEPS >= 40
+
+
 def test_abuse_plan(spark):
     texts, bad = labelled(300, 3)
     docs = spark.createDataFrame([(i, t, f"s{i % 3}" if i % 7 else None) for i, t in enumerate(texts)] + [(900, None, "s0"), (901, "", "s0")], "doc_id bigint, text string, source string").withColumn("score", F.lit("clash"))
