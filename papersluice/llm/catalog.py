@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from papersluice.llm import abuse
 from papersluice.llm.bpe import encode_corpus
-from papersluice.llm.garbled import find_garbled
+from papersluice.llm.garbled import find_garbled, garbled_ids
 from papersluice.llm.leakage import find_leaks
 from papersluice.llm.lookalike import lookalike_classes, lookalike_pairs
 from papersluice.llm.personal import find_personal
@@ -43,7 +43,7 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p3_found")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_garbled(text_records(spark, sf_dir, "name", "filename", "snippet")).select("field", "rec_id").distinct()
+    return garbled_ids(text_records(spark, sf_dir, "name", "filename", "snippet"))
 
 
 @query("p3_restored")

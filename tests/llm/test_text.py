@@ -105,8 +105,43 @@ def test_in_part_and_lost(model):
 def test_find_garbled(spark):
     bad = garbled.garble("检验报告评估方案", "gb18030>latin-1")
     df = records(spark, [("name", i, t) for i, t in enumerate(CLEAN)] + [("name", 900, bad), ("name", 900, bad), ("snippet", 901, None), ("snippet", 902, ""), ("snippet", 903, "x" * 100_000 + "é")])
-    assert [tuple(r) for r in garbled.find_garbled(df).collect()] == [("name", 900, "gb18030>latin-1", "检验报告评估方案")]
-    assert garbled.find_garbled(df.limit(0)).count() == 0
+    assert [tuple(r) for r in garbled.find_garbled(df).collect()] == [("name", 900, "gb18030>latin-1", "检验报告评估方案", "inverted")]
+    assert [tuple(r) for r in garbled.garbled_ids(df).collect()] == [("name", 900)]
+    assert garbled.find_garbled(df.limit(0)).count() == garbled.garbled_ids(df.limit(0)).count() == 0
+
+
+def test_two_stretches_and_evidence(model):
+    a, b = garbled.garble("检验报告评估方案", "utf-8>cp437"), garbled.garble("修订后的会议纪要", "gb18030>latin-1")
+    found = model.examine(f"工资表财务 {a} 定稿归档 {b} 财务定稿")
+    assert (found.restored, found.evidence) == ("工资表财务 检验报告评估方案 定稿归档 修订后的会议纪要 财务定稿", garbled.INVERTED)
+    assert model.examine("��������.doc").evidence == garbled.REPLACED
+
+
+def test_stretches_by_brute_force(model, monkeypatch):
+    rng = random.Random(8)
+    texts = [t if i % 3 else garbled.garble(t, rng.choice(model.chains)) or t for i, t in enumerate(rng.sample(CLEAN, 40))] + ["é", "a" * 50 + "ü"]
+    want = []
+    for t in texts:
+        idx = garbled.bigrams([t])[0]
+        score = model.ratio[idx].astype(float)
+        want.append({k: max(score[i:j, k].sum() for i in range(len(idx)) for j in range(i + 1, len(idx) + 1)) for k in range(len(model.chains))})
+    for size in (garbled.AT_ONCE, 7):  # pieces of long texts give the same
+        monkeypatch.setattr(garbled, "AT_ONCE", size)
+        for t, w, got in zip(texts, want, model.stretches(texts)):
+            assert {k for _, k, _, _ in got} == {k for k, v in w.items() if v >= garbled.TRY_FROM}
+            assert all(abs(s - w[k]) < 1e-3 and 0 <= a < z <= len(t) for s, k, a, z in got)
+
+
+def test_garbled_recall_on_planted_records(spark, data):
+    rows = sorted((r.field, r.rec_id, r.text) for r in text_records(spark, data[: -len("sf0.001")] + "sf0.01", "name", "filename", "snippet").distinct().collect() if not r.text.isascii())
+    m = garbled.EncodingModel([t for _, _, t in rows])
+    bad = {i for i, _ in m.examine_all([t for _, _, t in rows])}
+    clean = [t for i, (_, _, t) in enumerate(rows) if i not in bad and skeleton(t) == unicodedata.normalize("NFD", t)]
+    rng = random.Random(6)
+    planted = [(t, g) for c in ("utf-8>latin-1", "utf-8>cp1252", "utf-8>cp437", "utf-8>gb18030", "gb18030>latin-1", "gb18030>cp437", "cp1251>cp1252", "cp866>cp1251", "utf-8>latin-1>cp1252") for t in rng.sample(clean, 60) if (g := garbled.garble(t, c)) and garbled.LOST not in g and g != t]
+    found = [m.examine(g) for _, g in planted]
+    assert len(planted) > 200 and sum(x is not None for x in found) > 0.96 * len(planted)
+    assert sum(x is not None and x.restored == t for (t, _), x in zip(planted, found)) > 0.93 * len(planted)
 
 
 # --- personal information
