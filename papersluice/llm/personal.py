@@ -11,6 +11,7 @@ folded character knows its place in the text, so replacing leaves the rest as it
 
 from __future__ import annotations
 
+import bisect
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -30,16 +31,28 @@ BEFORE, AFTER = 28, 20
 # --- folding ---------------------------------------------------------------------------------
 
 _PLAIN = regex.compile(r"^[\x09\x0a\x0d\x20-\x7e¡-¬®-ɏЀ-џ一-鿿‘-”–—…、-〟！-／：-＠（）№]*$")
-_MIXED = regex.compile(r"(?=[\w]*\p{Latin})(?=[\w]*[\p{Cyrillic}\p{Greek}])\w+")
-_AROUND_AT = regex.compile(r"[\w.+-]*\s?@\s?[\w.-]*")
+_LATIN, _OTHER = regex.compile(r"\p{Latin}"), regex.compile(r"[\p{Cyrillic}\p{Greek}]")
+_WORD = regex.compile(r"\w+")
+_BEFORE_AT, _AFTER_AT = regex.compile(r"(?r)[\w.+-]*\s?$"), regex.compile(r"\s?[\w.-]*")
+#: Characters of an e-mail address on either side of its sign.
+ADDRESS_SIDE = 256
 _TO_LATIN = {ord(x): to for to, xs in LOOKALIKES.items() if to.isascii() and to.isalpha() for x in xs}
 _TO_CYRILLIC = {ord(to): x for to, xs in LOOKALIKES.items() if to.isascii() and to.isalpha() for x in xs if "Ѐ" <= x <= "ӿ" and x in "АВЕКМНОРСТУХІЈЅаеорсухіјѕ"}
 _WIDTH = {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {0x3000: " "}
 
 
+def _mixed(text: str) -> list[regex.Match]:
+    """Words of Latin and other letters."""
+    if not _OTHER.search(text) or not _LATIN.search(text):
+        return []
+    return [m for m in _WORD.finditer(text) if _OTHER.search(m.group()) and _LATIN.search(m.group())]
+
+
 def fold(text: str) -> tuple[str, list[int] | None]:
     """The folded text, and for each of its characters (and its end) the place in ``text``; None if they agree."""
-    if _PLAIN.match(text) and not _MIXED.search(text):
+    if text.isascii():
+        return text, None
+    if _PLAIN.match(text) and not _mixed(text):
         return text.translate(_WIDTH), None
     drop = table()
     out: list[str] = []
@@ -62,16 +75,18 @@ def fold(text: str) -> tuple[str, list[int] | None]:
         out.append(c)
         at.append(i)
     joined = "".join(out)
-    folded = list(joined)
-    for m in _MIXED.finditer(joined):
+    for m in _mixed(joined):
         word = m.group()
         foreign = [c for c in word if c.isalpha() and 0x36F < ord(c) < 0x530]
         to = _TO_LATIN if all(ord(c) in _TO_LATIN for c in foreign) else _TO_CYRILLIC
-        folded[m.start() : m.end()] = [to.get(ord(c), c) for c in word]
-    folded = "".join(folded)
-    for m in _AROUND_AT.finditer(folded):  # an address is Latin throughout
-        folded = folded[: m.start()] + m.group().translate(_TO_LATIN) + folded[m.end() :]
-    return folded, [*at, len(text)]
+        out[m.start() : m.end()] = [to.get(ord(c), c) for c in word]
+    sign = joined.find("@")
+    while sign >= 0:  # an address is Latin throughout
+        a = _BEFORE_AT.search(joined, max(0, sign - ADDRESS_SIDE), sign).start()
+        z = _AFTER_AT.match(joined, sign + 1, sign + 1 + ADDRESS_SIDE).end()
+        out[a:z] = [_TO_LATIN.get(ord(c), c) for c in out[a:z]]
+        sign = joined.find("@", sign + 1)
+    return "".join(out), [*at, len(text)]
 
 
 # --- checksums -------------------------------------------------------------------------------
@@ -130,55 +145,65 @@ def _re(pattern: str, flags: int = 0) -> regex.Pattern:
     return regex.compile(pattern, flags | regex.V0)
 
 
+#: Words for identity numbers.
+_ID_WORDS = r"身份证|证件|证号|护照|社保|passport|passeport|pasaporte|паспорт|reisepass|\bpass|ausweis|ID card|identity|national insurance|NINO|social security|\bSSN|\bNIR|s[ée]cu(?:rit[ée] sociale)?|\bDNI|\bNIE|СНИЛС|ИНН|steuer-?id|sozialversicherung\w*|carte d.identit[ée]|seguridad social"
 #: Words that speak for a kind when they stand just before, and against it.
 FOR = {
     "phone": _re(r"(?i)(?:\btel|\bt[ée]l|phone|mobil\w*|\bcell|\bfax|\bcall|reach\w*|handy|r[üu]ckruf|durchwahl|telefon|joindre|portable|llamar|m[óo]vil|звонить|тел|факс|моб|电话|手机|致电|传真|联系方式|座机|\bor|;|,|/)[\s.:：n°º№(+]*(?:unter|on|at|au|al|to|по)?[\s.:：]*$"),
-    "id_number": _re(r"(?i)(?:身份证|证件|证号|护照|社保|passport|passeport|pasaporte|паспорт|reisepass|\bpass|ausweis|ID card|identity|national insurance|NINO|social security|\bSSN|\bNIR|s[ée]cu(?:rit[ée] sociale)?|\bDNI|\bNIE|СНИЛС|ИНН|steuer-?id|sozialversicherung\w*|carte d.identit[ée]|seguridad social)[\s.:：,#-]*(?:no|nr|n|number|num[ée]ro|n[úu]mero|号码|号|серия)?[\s.:：°º№#-]*(?:[Nn][or°º]?\.?)?[\s.:：№]*$"),
+    "id_number": _re(rf"(?i)(?:{_ID_WORDS})[\s.:：,#-]*(?:nummer|no|nr|n|number|num[ée]ro|n[úu]mero|号码|号|серия)?[\s.:：°º№#-]*(?:[Nn][or°º]?\.?)?[\s.:：№]*$"),
 }
 AGAINST = {
     "phone": _re(r"(?i)(?:\blot|order|isbn|issn|\bsize|ticks?\s*=?|batch|serial|s/n|imei|订单号?|流水号?|单号|编号|批次|序号|货号|node|host|\bip|version|\bv|code|item|no\.? of|account|invoice|commande|bestell\w*|auftrag\w*|pedido|lote|заказ\w*|партия|0x|#|=|_)[\s.:：#№=-]*$"),
     "id_number": _re(r"(?i)(?:\blot|order|isbn|issn|\bsize|ticks?\s*=?|batch|serial|s/n|imei|订单号?|流水号?|单号|批次|序号|货号|item|0x|=|_)[\s.:：#№=-]*$"),
 }
+#: The same just after it, in brackets.
+FOR_AFTER = {
+    "phone": _re(r"(?i)^\s?[(（\[]\s?(?:tel|t[ée]l|phone|mobil|cell|fax|handy|portable|m[óo]vil|моб|тел|факс|手机|电话|传真|座机)"),
+    "id_number": _re(r"(?i)^\s?[(（\[]\s?(?:passport|passeport|pasaporte|reisepass|ausweis|ID card|SSN|NINO|DNI|NIE|NIR|паспорт|СНИЛС|身份证|护照|证件)"),
+}
 UNITS_AFTER = _re(r"(?i)^\s*(?:bytes?|KB|MB|GB|octets|px|mm|cm|kg|页|行|份|次|个|%)")
 
+#: A number ends where no digit follows, or where a year written out begins.
+_END = r"(?:(?!\d)|(?=(?:19|20)\d{2}年))"
 _AT = r"(?:\s?@\s?|\s?[\[({<]\s?(?:at|arroba|собака)\s?[\])}>]\s?|\s(?:AT|at|arroba|собака)\s)"
 _DOT = r"(?:\.|\s?[\[({<]\s?(?:dot|punto|punkt|point|точка)\s?[\])}>]\s?|\s(?:DOT|dot)\s)"
 _EMAIL = _re(rf"(?<![A-Za-z0-9._+%-])[A-Za-z0-9][A-Za-z0-9._+%-]*(?i:{_AT})[A-Za-z][A-Za-z0-9-]*(?:(?i:{_DOT})[A-Za-z0-9-]+?)*(?i:{_DOT})(?:[a-z]{{2,12}}(?![a-z])|[A-Z]{{2,12}}(?![A-Z]))")
+_SPELLED_AT = _re(r"(?i)[\[({<]\s?(?:at|arroba|собака)\s?[\])}>]|\s(?:at|arroba|собака)\s")
 _FILE_END = _re(r"(?i)\.(?:png|jpe?g|gif|svg|webp|bmp|tiff?|ico|css|js|py|java|txt|docx?|xlsx?|pptx?|pdf|zip)$")
 
 _PHONES = [
     # international prefix
-    (_re(r"(?<![A-Za-z0-9=#])(?:\+|00)(?:1|7|33|34|39|41|43|44|49|86)[\s./()-]*(?:\(0\))?(?:[\s./()-]*\d){8,11}(?!\d)"), 0.6),
+    (_re(r"(?<![A-Za-z0-9=#])(?:\+|00)(?:1|7|33|34|39|41|43|44|49|86)[\s./()-]*(?:\(0\))?(?:[\s./()-]*\d){8,11}" + _END), 0.6),
     # North America
-    (_re(r"(?<![\d.+=#_-])(?<![A-Za-z])(?:1[\s.-])?(?:\(\d{3}\)\s?|\d{3}[\s.-])\d{3}[\s.-]\d{4}(?![\d.-]\d|\d)"), 0.5),
-    (_re(r"(?<![A-Za-z0-9_.+=#-])[2-9]\d{2}[2-9]\d{6}(?!\d)"), 0.2),
+    (_re(r"(?<![\d.+=#_-])(?<![A-Za-z])(?:1[\s.-])?(?:\(\d{3}\)\s?|\d{3}[\s.-])\d{3}[\s.-]\d{4}(?![.-]\d)" + _END), 0.5),
+    (_re(r"(?<![A-Za-z0-9_.+=#-])[2-9]\d{2}[2-9]\d{6}" + _END), 0.2),
     # Britain, Germany
-    (_re(r"(?<![A-Za-z0-9_.+=#-])0\d{2,4}[\s/-]+\d{3,4}[\s-]?\d{2,5}(?:[\s-]\d{2,4})?(?!\d)"), 0.5),
-    (_re(r"(?<![A-Za-z0-9_.+=#-])\(0\d{2,4}\)[\s/-]*\d{3,4}[\s-]?\d{3,5}(?!\d)"), 0.5),
-    (_re(r"(?<![A-Za-z0-9.+=#_-])0\d{2,3}[\s-]?\d{7,8}(?!\d)"), 0.35),
+    (_re(r"(?<![A-Za-z0-9_.+=#-])0\d{2,4}[\s/-]+\d{3,4}[\s-]?\d{2,5}(?:[\s-]\d{2,4})?" + _END), 0.5),
+    (_re(r"(?<![A-Za-z0-9_.+=#-])\(0\d{2,4}\)[\s/-]*\d{3,4}[\s-]?\d{3,5}" + _END), 0.5),
+    (_re(r"(?<![A-Za-z0-9.+=#_-])0\d{2,3}[\s-]?\d{7,8}" + _END), 0.35),
     # France
-    (_re(r"(?<![A-Za-z0-9_.+=#-])0[1-9](?:[\s.-]?\d{2}){4}(?!\d)"), 0.35),
-    (_re(r"(?<![A-Za-z0-9_.+=#-])0[1-9](?:[.]\d{2}){4}(?!\d)"), 0.5),
+    (_re(r"(?<![A-Za-z0-9_.+=#-])0[1-9](?:[\s.-]?\d{2}){4}" + _END), 0.35),
+    (_re(r"(?<![A-Za-z0-9_.+=#-])0[1-9](?:[.]\d{2}){4}" + _END), 0.5),
     # Spain
-    (_re(r"(?<![A-Za-z0-9_.+=#-])[5-9]\d{2}[\s.]\d{2,3}[\s.]\d{2,3}(?:[\s.]\d{2,3})?(?!\d)"), 0.2),
+    (_re(r"(?<![A-Za-z0-9_.+=#-])[5-9]\d{2}[\s.]\d{2,3}[\s.]\d{2,3}(?:[\s.]\d{2,3})?" + _END), 0.2),
     # Russia
-    (_re(r"(?<![A-Za-z0-9_.+=#-])8?\s?\(\d{3,5}\)\s?\d{1,3}-\d{2}-\d{2}(?!\d)"), 0.5),
+    (_re(r"(?<![A-Za-z0-9_.+=#-])8?\s?\(\d{3,5}\)\s?\d{1,3}-\d{2}-\d{2}" + _END), 0.5),
     # China: mobile
-    (_re(r"(?<![A-Za-z0-9.+=#_-])1[3-9]\d[\s-]?\d{4}[\s-]?\d{4}(?!\d)"), 0.5),
+    (_re(r"(?<![A-Za-z0-9.+=#_-])1[3-9]\d[\s-]?\d{4}[\s-]?\d{4}" + _END), 0.5),
 ]
 
 _IDS = [
-    (_re(r"(?<![0-9A-Za-z=_])[1-9]\d{5}[\s-]?(?:18|19|20)\d{2}[01]\d[0-3]\d[\s-]?\d{3}[\dXx](?!\d)"), 0.2, lambda m: resident_id(_digits(m)) or None),
+    (_re(r"(?<![0-9A-Za-z=_])[1-9]\d{5}[\s-]?(?:18|19|20)\d{2}[01]\d[0-3]\d[\s-]?\d{3}[\dXx]" + _END), 0.2, lambda m: resident_id(_digits(m))),
     # Britain: two letters, six digits, a letter
     (_re(r"(?<![A-Za-z0-9])[A-CEGHJ-PQR-TW-Z]{2}[\s-]?\d{2}[\s-]?\d{2}[\s-]?\d{2}[\s-]?[A-D](?![A-Za-z0-9])"), 0.6, None),
     (_re(r"(?<![\w-])\d{3}[\s-]\d{2}[\s-]\d{4}(?![\d-])"), 0.1, None),
     # passports and cards of letters and digits
-    (_re(r"(?<![A-Za-z0-9])[A-Z]{1,2}\s?\d{6,9}(?!\d)"), 0.0, None),
+    (_re(r"(?<![A-Za-z0-9])[A-ZΑ-ΩА-Я]{1,2}\s?\d{6,9}" + _END), 0.0, None),
     (_re(r"(?<![A-Za-z0-9])[CFGHJKLMNPRTVWXYZ][CFGHJKLMNPRTVWXYZ0-9]{7,8}\d?(?![A-Za-z0-9])"), 0.0, None),
-    (_re(r"(?<!\d)\d{2}\s?\d{2}\s?\d{6}(?!\d)"), 0.0, None),
+    (_re(r"(?<!\d)\d{2}\s?\d{2}\s?\d{6}" + _END), 0.0, None),
     (_re(r"(?<![A-Za-z0-9])(?:\d{8}|[XYZ]-?\d{7})-?[A-HJ-NP-TV-Z](?![A-Za-z0-9])"), 0.1, None),
-    (_re(r"(?<!\d)\d{3}-\d{3}-\d{3}[\s-]\d{2}(?!\d)"), 0.3, None),
-    (_re(r"(?<!\d)[12]\s?\d{2}\s?[01]\d\s?\d{2}\s?\d{3}\s?\d{3}\s?\d{2}(?!\d)"), 0.0, lambda m: insee(_digits(m)) or None),
+    (_re(r"(?<!\d)\d{3}-\d{3}-\d{3}[\s-]\d{2}" + _END), 0.3, None),
+    (_re(r"(?<!\d)[12]\s?\d{2}\s?[01]\d\s?\d{2}\s?\d{3}\s?\d{3}\s?\d{2}" + _END), 0.0, lambda m: insee(_digits(m))),
     (_re(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){3,7}(?:\s?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"), 0.0, lambda m: iban(m.group())),
     (_re(r"(?<![\d.-])(?:\d{4}[\s-]){3}\d{4}(?![\d-])"), 0.0, lambda m: luhn(_digits(m))),
 ]
@@ -197,8 +222,21 @@ _ADDRESSES = [
     _re(rf"(?<!\w){_STREET_ES}\s?(?:(?:de|del|la|las|los|el|DE|DEL|LA)\s){{0,3}}(?:{_W}\s?){{1,3}},?\s?(?:n\.?[ºo°]\s?)?\d{{1,4}}(?!\w)"),
     _re(rf"(?<!\w){_STREET_RU}\s(?:\p{{Lu}}[\p{{L}}-]+\s?){{1,3}},?\s?(?:д\.|дом)?\s?\d{{1,4}}"),
     _re(rf"(?<!\w)(?:\p{{Lu}}[\p{{L}}-]+\s){{1,2}}{_STREET_RU},?\s?(?:д\.|дом)?\s?\d{{1,4}}"),
-    _re(r"(?:[一-鿿]{1,6}?(?:省|市|区|县|镇|乡|州))*[一-鿿]{1,6}(?:大道|街道|胡同|路|街|巷|弄|里|道)(?:[东南西北]段)?\d{1,5}(?:号|弄)(?:院)?(?:\d{1,4}(?:栋|幢|座|号楼|单元|室|层))*(?:\d{1,4}(?:室)?)?"),
 ]
+#: What in a text makes it worth trying the expressions above, in order.
+_STREET_SIGNS = [
+    tuple(" Street| St| Road| Rd| Avenue| Ave| Lane| Ln| Boulevard| Blvd| Close| Drive| Dr| Way| Court| Ct| Place| Square| Sq| Terrace| Crescent| Row| Gardens| Hill| Mews| Walk| Grove| Parade| STREET| ROAD| RD| AVENUE| AVE| LANE| LN| BLVD| CLOSE| DRIVE| WAY| COURT| PLACE| SQUARE".split("|")),
+    tuple("straße|strasse|str.|platz|weg|gasse|allee|ufer|ring|damm|steig|hof|graben|STRASSE|STRAßE|PLATZ|WEG|GASSE|ALLEE|Straße|Weg|Platz|Allee|Gasse|Ufer|Am |An der |Im ".split("|")),
+    tuple("rue|avenue|av.|boulevard|bd|quai|impasse|allée|allee|chemin|place|passage|route|cours|sentier|RUE|AVENUE|QUAI|IMPASSE|PLACE".split("|")),
+    tuple("alle|C/|venida|vda|laza|Pl.|aseo|P.º|amino|raves|onda|callej|Callej|CALLE|AVENIDA|PLAZA|PASEO|CAMINO".split("|")),
+    *[tuple("ул|пер|пр|б-р|бульвар|наб|ш.|шоссе|пл|аллея|тупик".split("|"))] * 2,
+]
+#: Chinese addresses: a kind of street and a number; what stands before is looked at from there, so that no run of ideographs is tried twice.
+_HAN_STREET = _re(r"(?<=[一-鿿])(?:大道|街道|胡同|路|街|巷|弄|里|道)(?:[东南西北]段)?\d{1,5}(?:号|弄)(?:院)?(?:\d{1,4}(?:栋|幢|座|号楼|单元|室|层))*(?:\d{1,4}(?:室)?" + _END + ")?")
+_HAN_RUN = regex.compile(r"(?r)[一-鿿]+$")
+_HAN_AREA = "省市区县镇乡州"
+#: Ideographs of a street's or an area's name, and areas before a street.
+HAN_NAME_LENGTH, HAN_AREAS = 6, 4
 _NOT_STREET = _re(r"(?i)^(?:\d+,?\s)?(?:first|second|third|north|south|east|west)?\s?(?:street lighting|the)\b")
 
 # --- names
@@ -209,19 +247,26 @@ _INIT = r"\p{Lu}\.(?:[\s-]?\p{Lu}\.)?"
 _PERSON = rf"(?:{_CAP}\s(?:{_INIT}\s)?{_CAP}|{_UP}\s{_UP}|{_CAP},\s{_CAP}|{_UP},\s{_UP}|{_INIT}\s?(?:{_CAP}|{_UP})|(?:{_CAP}|{_UP}),?\s{_INIT})"
 #: What stands before or after a person in each language.
 _LEAD = (
-    r"(?:Mrs?|Ms|Miss|Dr|Prof|Sir|Madam)\.?|(?i:signed(?: by)?|prepared by|written by|drafted by|approved by|reviewed by|submitted by|issued by|attn|attention|dear|contact|c/o|cc|from|to|for|by|as|per|a call with|call with|spoke (?:to|with)|sincerely|regards|employee|applicant|recipient|author|tenant|patient|Miss|deliver to)"
+    r"(?i:full name|name|vorname und nachname|nom et prénom|nom|nombre y apellidos|nombre|имя|фио)(?=:)|(?:Mrs?|Ms|Miss|Dr|Prof|Sir|Madam)\.?|(?i:signed(?: by)?|prepared by|written by|drafted by|approved by|reviewed by|submitted by|issued by|attn|attention|dear|contact|c/o|cc|from|to|for|by|as|per|a call with|call with|spoke (?:to|with)|sincerely|regards|employee|applicant|recipient|author|tenant|patient|Miss|deliver to)"
     r"|(?i:Herrn?|Frau|Hr\.|Fr\.|laut|gezeichnet|gez|i\. ?A|i\. ?V|unterschrift|Ansprechpartner(?:in)?|zu H[äa]nden(?: von)?|z\. ?Hd(?:\.? ?v(?:on)?)?|bearbeitet von|erstellt von|gepr[üu]ft von|Sachbearbeit(?:er|erin|ung)|Empf[äa]nger(?:in)?|Antragsteller(?:in)?|Sehr geehrter? (?:Herr|Frau)|Lieber?)"
     r"|(?:M|MM|Mme|Mlle|Me)\.?|(?i:monsieur|madame|selon|sign[ée]e?|contacter|contact|à l[’']attention de|attention de|r[ée]dig[ée] par|transmis par|valid[ée] par|vu par|destinataire|demandeur|demandeuse|cher|ch[èe]re|par)"
     r"|(?:D|D[ªa]|Dña|Do[ñn]a|Don|Sr|Sra|Srta)\.?|(?i:se[ñn]ora?|firmado(?: por)?|firma|atentamente|seg[úu]n|contacto|a la atenci[óo]n de|redactado por|revisado por|solicitante|destinatari[oa]|estimad[oa]|por)"
     r"|(?i:г-н|г-жа|господин|госпожа|гражданин|гражданка|подписал[аи]?|исполнитель|исполнил[аи]?|согласовал[аи]?|утвердил[аи]?|заявитель|получатель|отправитель|контакт(?:ное лицо)?|ответственн(?:ый|ая)|по словам|со слов|составил[аи]?|уважаем(?:ый|ая)|от)"
 )
 _TRAIL = (
-    r"(?:asked for|wrote|signed|writes|called|requested|requests|approved|confirmed|will|has (?:signed|asked|approved)|says|said|on the draft|hat (?:unterschrieben|unterzeichnet|angerufen|gegengezeichnet|zugestimmt)|bittet|schrieb|unterschrieb|zeichnet|bat um|a (?:relu|sign[ée]|demand[ée]|valid[ée]|appel[ée]|confirm[ée])|demande|pide|pidi[óo]|firm[óo]|solicita|solicit[óo]|ha (?:firmado|pedido|revisado|solicitado)|revis[óo]|prosit|просит|подписал[аи]?|написал[аи]?|сообщил[аи]?|запросил[аи]?|согласовал[аи]?)"
+    r"(?:lives|asked for|wrote|signed|writes|called|requested|requests|approved|confirmed|will|has (?:signed|asked|approved)|says|said|on the draft|hat (?:unterschrieben|unterzeichnet|angerufen|gegengezeichnet|zugestimmt)|bittet|schrieb|unterschrieb|zeichnet|bat um|a (?:relu|sign[ée]|demand[ée]|valid[ée]|appel[ée]|confirm[ée])|demande|pide|pidi[óo]|firm[óo]|solicita|solicit[óo]|ha (?:firmado|pedido|revisado|solicitado)|revis[óo]|prosit|просит|подписал[аи]?|написал[аи]?|сообщил[аи]?|запросил[аи]?|согласовал[аи]?)"
 )
-_WESTERN = _re(rf"(?<![\p{{L}}\d_@.])(?:{_LEAD})[.:,]?\s{{1,2}}(?P<who>{_PERSON})(?![\p{{L}}\d@_])")
-_WESTERN_AFTER = _re(rf"(?<![\p{{L}}\d_@.])(?P<who>{_PERSON})\s(?={_TRAIL}(?!\p{{L}}))")
-#: Leads too common to make any capitalised pair a name: a first name, an initial or capitals have to support them.
-_WEAK_LEAD = _re(r"(?i)^(?:from|to|for|by|as|per|cc|par|por|от|contact|m|d|deliver to)$")
+_WHO = _re(rf"(?<![\p{{L}}\d_@.])(?P<who>{_PERSON})(?![\p{{L}}\d@_])")
+_LED = _re(rf"(?<![\p{{L}}\d_@.])(?P<lead>{_LEAD})(?P<mark>[.:,]?)\s{{1,2}}$")
+_TRAILED = _re(rf"\s(?:{_TRAIL})(?!\p{{L}})")
+_INITIAL = _re(r"\p{Lu}\.")
+#: Leads too common to make any capitalised pair a name: a colon, an initial or what follows has to support them.
+_WEAK_LEAD = _re(r"(?i)^(?:from|to|for|by|as|per|cc|par|por|от|contact|deliver to)$")
+#: Leads behind which a name may have further parts.
+_FULL_LEAD = _re(r"(?i)^(?:full name|name|vorname und nachname|nom|nom et prénom|nombre|nombre y apellidos|имя|фио)$")
+_FURTHER = _re(rf"(?:[^\S\r\n]{_CAP}){{1,2}}(?![\p{{L}}\d@_])")
+#: Characters before a name in which its lead stands.
+LED_BEFORE = 40
 
 #: Surnames, the most frequent first.
 _SURNAMES = (
@@ -242,6 +287,7 @@ _HAN_NAMES = [
     _re(rf"(?<![一-鿿])(?P<who>{_HAN_NAME})(?:同志|先生|女士|小姐|老师|经理|主任|科长|处长|局长|书记|已在|已签|来电|敬上|本人)"),
     _re(rf"[（(](?P<who>{_HAN_NAME})[）)]"),
 ]
+_HAN_SIGN = _re(rf"{_HAN_LEAD}|由|同志|先生|女士|小姐|老师|经理|主任|科长|处长|局长|书记|已在|已签|来电|敬上|本人|[（(]")
 _NOT_NAMES = _re(r"(?i)\b(?:Programme|Program|Project|Tender|Harbour|Street|Road|Bridge|Office|Bureau|Department|Report|Team|Valley|River|Centre|Center|Hall|Depot|Unit|Act|Plan|Desk|Board|Street Lighting|Item|Version|About|Please|Once|Only|Each|The|No|On)\b")
 
 
@@ -260,49 +306,103 @@ def _context(kind: str, text: str, start: int, end: int) -> float:
         out += 0.5
     if kind in AGAINST and AGAINST[kind].search(before):
         out -= 0.7
+    if kind in FOR_AFTER and FOR_AFTER[kind].match(text[end : end + AFTER]):
+        out += 0.5
     if kind == "phone" and UNITS_AFTER.match(text[end : end + AFTER]):
         out -= 0.7
     return out
 
 
-def spans(folded: str) -> list[Span]:
-    """Accepted spans in a folded text, in order, without overlaps; earlier kinds take precedence."""
-    found: list[Span] = []
+_DIGITS = _re(r"\d(?:[\s./()+-]{0,3}\d){5}")
+_ID_WORD = _re(rf"(?i){_ID_WORDS}")
+
+
+def _western(text: str, m: regex.Match) -> tuple[float, int]:
+    """The score of a proposed name by what stands before and after it, and the name's end."""
+    score, end = 0.0, m.end("who")
+    led = _LED.search(text, max(0, m.start("who") - LED_BEFORE), m.start("who"))
+    if led:
+        weak = _WEAK_LEAD.match(led["lead"]) and led["mark"] != ":"
+        score += 0.3 if weak else 0.7
+        if weak and _INITIAL.search(m["who"]):
+            score += 0.3
+        if _FULL_LEAD.match(led["lead"]) and (more := _FURTHER.match(text, end)):
+            end = more.end()
+    if _TRAILED.match(text, end):
+        score += 0.6
+    return score, end
+
 
-    def free(a: int, b: int) -> bool:
-        return all(b <= s.start or a >= s.end for s in found)
+def _han_addresses(text: str) -> Iterator[tuple[int, int]]:
+    for m in _HAN_STREET.finditer(text):
+        reach = (HAN_NAME_LENGTH + 1) * (HAN_AREAS + 1)
+        run = _HAN_RUN.search(text, max(0, m.start() - reach), m.start()).start()
+        start = max(run, m.start() - HAN_NAME_LENGTH)
+        edge = m.start()
+        for _ in range(HAN_AREAS):  # area by area to the left
+            area = max((text.rfind(c, max(run, edge - HAN_NAME_LENGTH - 1), edge - 1) for c in _HAN_AREA), default=-1)
+            if area <= run:
+                break
+            start, edge = max(run, area - HAN_NAME_LENGTH), area
+        yield start, m.end()
 
-    def add(kind: str, a: int, b: int, score: float) -> None:
-        if score >= NEED and free(a, b):
-            found.append(Span(kind, a, b, min(score, 1.0)))
 
-    has_digit = any(c.isdigit() for c in folded)
-    for m in _EMAIL.finditer(folded):
-        if not _FILE_END.search(m.group()):
-            add("email", *m.span(), 0.9)
-    if has_digit:
+class _Spans:
+    """Spans without overlaps; what came first takes precedence."""
+
+    def __init__(self):
+        self.found: list[Span] = []
+
+    def add(self, kind: str, a: int, b: int, score: float) -> None:
+        if score < NEED:
+            return
+        at = bisect.bisect_left(self.found, a, key=lambda s: s.start)
+        if (at == 0 or self.found[at - 1].end <= a) and (at == len(self.found) or b <= self.found[at].start):
+            self.found.insert(at, Span(kind, a, b, min(score, 1.0)))
+
+
+def spans(folded: str) -> list[Span]:
+    """Accepted spans in a folded text, in order, without overlaps; earlier kinds take precedence.
+
+    Expressions are tried only on texts that hold what they can't do without: digits in a row, a word
+    for an identity number where the shape alone is not enough, a kind of street, a lead.
+    """
+    out = _Spans()
+    if "@" in folded or _SPELLED_AT.search(folded):
+        for m in _EMAIL.finditer(folded):
+            if not _FILE_END.search(m.group()):
+                out.add("email", *m.span(), 0.9)
+    digits = _DIGITS.search(folded)
+    word = _ID_WORD.search(folded)
+    if digits or word:
         for pattern, base, check in _IDS:
+            if not word and base < NEED and not check:
+                continue
             for m in pattern.finditer(folded):
                 verdict = check(m) if check else None
                 if verdict is not False:
-                    add("id_number", *m.span(), (1.0 if verdict else base) + _context("id_number", folded, *m.span()))
-        for pattern in _ADDRESSES:
+                    out.add("id_number", *m.span(), (1.0 if verdict else base) + _context("id_number", folded, *m.span()))
+    for pattern, signs in zip(_ADDRESSES, _STREET_SIGNS):
+        if any(x in folded for x in signs):
             for m in pattern.finditer(folded):
                 if not _NOT_STREET.match(m.group()):
-                    add("address", *m.span(), 0.7)
+                    out.add("address", *m.span(), 0.7)
+    if "号" in folded or "弄" in folded:
+        for a, z in _han_addresses(folded):
+            out.add("address", a, z, 0.7)
+    if digits:
         for pattern, base in _PHONES:
             for m in pattern.finditer(folded):
-                add("phone", *m.span(), base + _context("phone", folded, *m.span()))
-    for m in _WESTERN.finditer(folded, overlapped=True):
-        if not _NOT_NAMES.search(m["who"]):
-            add("name", *m.span("who"), 0.7)
-    for m in _WESTERN_AFTER.finditer(folded):
-        if not _NOT_NAMES.search(m["who"]):
-            add("name", *m.span("who"), 0.6)
-    for pattern in _HAN_NAMES:
-        for m in pattern.finditer(folded):
-            add("name", *m.span("who"), 0.7)
-    return sorted(found, key=lambda s: s.start)
+                out.add("phone", *m.span(), base + _context("phone", folded, *m.span()))
+    for m in _WHO.finditer(folded, overlapped=True):
+        score, end = _western(folded, m)
+        if score >= NEED and not _NOT_NAMES.search(m["who"]):
+            out.add("name", m.start("who"), end, score)
+    if not folded.isascii() and _HAN_SIGN.search(folded):
+        for pattern in _HAN_NAMES:
+            for m in pattern.finditer(folded):
+                out.add("name", *m.span("who"), 0.7)
+    return out.found
 
 
 def find(text: str) -> list[Span]:

@@ -1,4 +1,5 @@
 import random
+import time
 import unicodedata
 from itertools import combinations
 
@@ -163,6 +164,35 @@ def test_personal(text, kinds):
     assert {s.kind for s in personal.find(text)} == kinds
 
 
+@pytest.mark.parametrize(
+    "text,kinds",
+    [
+        ("by Monday Morning", set()), ("to Mount Everest", set()), ("from New Zealand", set()), ("from J. Smith", {"name"}), ("Maria Petrosyan lives here", {"name"}), ("as Anna Oakhurst wrote", {"name"}),
+        ("身份证号110105194912310021", set()), ("身份证11010519491231002X2015年3月1日", {"id_number"}), ("手机154 4007 62942018年11月7日", {"phone"}), ("电话:(0300)07886092024年1月10日", {"phone"}),
+        ("Ausweisnummer: L06X48Z07", {"id_number"}), ("паспорт № ΧК5390614", {"id_number"}), ("AB123456 (passport)", {"id_number"}), ("AB123456 in stock", set()), ("家住苇湾省青榆市石磬县长汀巷155号", {"address"}),
+    ],
+)
+def test_personal_by_context(text, kinds):
+    assert {s.kind for s in personal.find(text)} == kinds
+
+
+def test_full_names_and_areas():
+    assert personal.redact("Name: Nguyen Thi Hoa, address 石磬县长汀巷155号") == "Name: [NAME], address [ADDRESS]"
+    assert personal.redact("手机154 4007 62942018年11月7日") == "手机[PHONE]2018年11月7日"
+
+
+@pytest.mark.parametrize("text", ["县" * 100_000, "县" * 400 + "9", "路1" * 50_000, "a" * 100_000, "жa" * 50_000, "a@" * 50_000, "a." * 50_000, "+1" * 50_000, "é" * 100_000 + "@", "1" * 100_000])
+def test_long_texts_take_no_time(text):
+    started = time.process_time()
+    personal.find(text)
+    assert time.process_time() - started < 1.5
+
+
+def test_many_spans():
+    text = "write to a@b.example, call +1 202 555 0126. " * 5000
+    assert len(personal.find(text)) == 10_000
+
+
 def test_checksums():
     assert personal.resident_id("11010519491231002X") and not personal.resident_id("110105194912310021")
     assert personal.luhn("4539578763621486") and not personal.luhn("4539578763621487")
