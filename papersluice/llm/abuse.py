@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from papersluice.llm.terms import IDEOGRAPH, WORD, chars, portions
 from papersluice.session import spread
 
-#: Labelled documents from which the classifier is fitted.
-FIT_DOCUMENTS = 4000
+#: Labelled documents from which the classifier is fitted, and the length (code points) up to which one is drawn: what reaches the driver is bounded by both.
+FIT_DOCUMENTS, FIT_CHARS = 4000, 50_000
+#: Texts that are cut into sentences at once.
+AT_ONCE = 512
 #: Hash buckets of n-grams, and their lengths.
 BUCKETS = 1 << 18
 ORDERS = (1, 2, 3, 4, 5)
@@ -130,6 +132,23 @@ class Sentences:
         np.add.at(self.key, sentence, (wide + np.uint64(7)) * _MIX * (np.arange(len(code)) - self._begin(sentence) + 1).astype(np.uint64))
         self.size = np.bincount(self.whose, minlength=self.count).astype(np.float32)
 
+    @classmethod
+    def of(cls, texts: Sequence[str | None]) -> Sentences:
+        """The same, a portion at a time: what is needed on the way does not grow with the number of texts."""
+        self = cls([])
+        self.count, self.grams, self.whose, self.owner, self.key, self.size = 0, [], [], [], [], []
+        for lo in range(0, len(texts), AT_ONCE):
+            part = cls(texts[lo : lo + AT_ONCE])
+            self.grams.append(part.grams)
+            self.whose.append(part.whose + np.int32(self.count))
+            self.owner.append(part.owner + lo)
+            self.key.append(part.key)
+            self.size.append(part.size)
+            self.count += part.count
+        for name in ("grams", "whose", "owner", "key", "size"):
+            setattr(self, name, np.concatenate(getattr(self, name)))
+        return self
+
     @staticmethod
     def _begin(sentence: np.ndarray) -> np.ndarray:
         first = np.flatnonzero(np.diff(sentence, prepend=-1))
@@ -148,7 +167,7 @@ class AbuseModel:
         self.weights, self.intercept = np.zeros(BUCKETS, np.float32), -10.0
         if not any(bad) or all(bad):
             return
-        s = Sentences(texts)
+        s = Sentences.of(texts)
         from_bad = np.asarray(bad, bool)[s.owner]
         good = ~from_bad
         common = self._common(s.key, from_bad)
@@ -228,14 +247,14 @@ class AbuseModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, size: int = FIT_DOCUMENTS) -> AbuseModel:
-    """A model from at most ``size`` labelled documents, those with the least hash of their ids.
+    """A model from at most ``size`` labelled documents of at most FIT_CHARS characters, those with the least hash of their ids.
 
     Repeated labels count once; a document judged both ways counts by the majority, and not at all
     on a tie; undecided labels don't count.
     """
     votes = labels.where("verdict IS NOT NULL AND doc_id IS NOT NULL").dropDuplicates().groupBy("doc_id").agg(F.avg("verdict").alias("verdict")).where("verdict <> 0.5")
     picked = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL AND text <> ''").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).collect()
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL AND text <> ''").where(F.length("text") <= FIT_CHARS).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r.doc_id)
     return AbuseModel([r.text for r in rows], [r.verdict > 0.5 for r in rows])
 
