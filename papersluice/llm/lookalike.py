@@ -26,16 +26,21 @@ from papersluice.session import materialize, spread
 
 #: Prototype -> characters of other scripts and blocks with its shape.
 LOOKALIKES = {
-    # Latin letters: Cyrillic, Greek, Armenian, Cherokee, Lisu, phonetic
-    "A": "АΑᎪꓮ", "B": "ВΒᏴꓐ", "C": "СϹᏟꓚ", "D": "ᎠꓓⅮ", "E": "ЕΕᎬꓰ", "F": "Ϝꓝ", "G": "ԌᏀꓖ", "H": "НΗᎻꓧ",
-    "I": "ІΙӀꓲ", "J": "ЈͿᎫꓙ", "K": "КΚᏦꓗ", "L": "Ꮮꓡ", "M": "МΜᎷꓟ", "N": "Νꓠ", "O": "ОΟՕꓳ", "P": "РΡᏢꓑ",
-    "Q": "Ԛ", "R": "Ꭱꓣ", "S": "ЅՏᏚꓢ", "T": "ТΤᎢꓔ", "U": "Սꓴ", "V": "ѴᏙꓦ", "W": "ԜᎳꓪ", "X": "ХΧꓫ", "Y": "УΥҮꓬ", "Z": "ΖᏃꓜ",
-    "a": "аαɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "іι", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօ", "p": "рρ",
-    "q": "ԛզ", "s": "ѕ", "u": "υս", "v": "ѵν", "w": "ԝ", "x": "х", "y": "уү", "ə": "ә", "æ": "ӕ",
+    # Latin letters: Cyrillic, Greek, Coptic, Armenian, Cherokee, Lisu, phonetic
+    "A": "АΑᎪꓮ", "B": "ВΒᏴꓐⲂ", "C": "СϹᏟꓚⲤ", "D": "ᎠꓓⅮ", "E": "ЕΕᎬꓰ", "F": "Ϝꓝ", "G": "ԌᏀꓖ", "H": "НΗᎻꓧⲎ",
+    "I": "ІΙӀꓲⲒ", "J": "ЈͿᎫꓙ", "K": "КΚᏦꓗⲔ", "L": "Ꮮꓡ", "M": "МΜᎷꓟⲘ", "N": "ΝꓠⲚ", "O": "ОΟՕꓳⲞ", "P": "РΡᏢꓑⲢ",
+    "Q": "Ԛ", "R": "Ꭱꓣ", "S": "ЅՏᏚꓢ", "T": "ТΤᎢꓔⲦ", "U": "Սꓴ", "V": "ѴᏙꓦ", "W": "ԜᎳꓪ", "X": "ХΧꓫⲬ", "Y": "УΥҮꓬⲨ", "Z": "ΖᏃꓜⲌ",
+    "a": "аαɑ", "c": "сϲᴄꮯⲥ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "іι", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօᴏⲟ", "p": "рρⲣ",
+    "q": "ԛզ", "s": "ѕꜱꮪ", "u": "υսᴜ", "v": "ѵνᴠꮩ", "w": "ԝѡաᴡꮃ", "x": "хⲭ", "y": "уү", "z": "ᴢꮓ", "ə": "ә", "æ": "ӕ",
+    # Small capitals: Cherokee and phonetic
+    "ᴀ": "ꭺ", "ᴇ": "ꭼ", "ᴊ": "ꭻ", "ʟ": "ꮮ", "ᴘ": "ꮲ", "ʀ": "ꮢ", "ɢ": "ꮐ",
+    # Cyrillic letters in the shape of small capitals
+    "в": "ʙ", "к": "ᴋĸꮶ", "м": "ᴍꮇ", "н": "ʜꮋ", "т": "ᴛꭲ", "п": "ᴨ", "л": "ᴫ", "я": "ᴙ",
     # Hyphens and colons of other blocks
     "-": "‐", ":": "∶",
     # Ideographs: kana and radicals
-    "口": "ロ", "工": "エ", "力": "カ", "夕": "タ", "卜": "ト", "二": "ニ", "八": "ハ", "へ": "ヘ",
+    "口": "ロ", "工": "エ", "力": "カ", "夕": "タ", "卜": "ト", "二": "ニ", "八": "ハ", "一": "ー", "へ": "ヘ",
+    "足": "⻊", "肉": "⺼", "辶": "⻌⻍⻎", "厂": "⺁", "亻": "⺅", "刂": "⺉", "忄": "⺖", "扌": "⺘", "攵": "⺙", "氵": "⺡", "灬": "⺣", "犭": "⺨", "礻": "⺭", "纟": "⺰", "罒": "⺲", "艹": "⺾", "衤": "⻂", "讠": "⻈", "贝": "⻉", "钅": "⻐", "阝": "⻖", "饣": "⻠",
     "民": "⺠", "西": "⻄", "见": "⻅", "角": "⻆", "车": "⻋", "长": "⻓", "门": "⻔", "青": "⻘", "韦": "⻙", "页": "⻚", "风": "⻛", "飞": "⻜",
     "食": "⻝", "马": "⻢", "骨": "⻣", "鬼": "⻤", "鱼": "⻥", "鸟": "⻦", "麦": "⻨", "黄": "⻩", "齐": "⻬", "齿": "⻮", "龙": "⻰", "龟": "⻳",
 }
@@ -126,22 +131,31 @@ def lookalike_pairs(records: DataFrame) -> DataFrame:
     """``field``, ``id_a``, ``id_b``: pairs with id_a < id_b of records of one field that look the same but are not the same string.
 
     Null and empty texts make no pairs, equal strings make none with each other, repeated rows count
-    once; an empty table gives no rows. Only groups that hold different strings are paired, and a
-    large one is split over many tasks.
+    once; an empty table gives no rows. Different strings are paired, not records, and a group of many
+    strings is split over many tasks.
     """
     rows = materialize(shapes(records), "shapes")
-    sizes = rows.groupBy("field", "shape").agg(F.count("*").alias("n"), F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi")
-    a, b = pairs_within(rows, sizes, ["field", "shape"], ["rec_id"])
-    a, b = a.withColumnsRenamed({"rec_id": "id_a", "own": "own_a"}), b.withColumnsRenamed({"rec_id": "id_b", "own": "own_b"})
-    return a.join(b, ["field", "shape", "_part"]).where("id_a < id_b AND own_a <> own_b").select("field", "id_a", "id_b").distinct()
+    strings = rows.select("field", "shape", "own").distinct()
+    varied = strings.groupBy("field", "shape").agg(F.count("*").alias("n")).where("n > 1")
+    a, b = pairs_within(strings, varied, ["field", "shape"], ["own"])
+    a, b = a.withColumnRenamed("own", "own_a"), b.withColumnRenamed("own", "own_b")
+    pairs = a.join(b, ["field", "shape", "_part"]).where("own_a < own_b").select("field", "own_a", "own_b")
+    # Ids come last, so equal strings are never compared: a string of many records costs its links only.
+    ids = rows.select("field", "rec_id", "own")
+    linked = attach(ids.withColumnsRenamed({"rec_id": "x", "own": "own_a"}), pairs, ["field", "own_a"], ["x"])
+    linked = attach(ids.withColumnsRenamed({"rec_id": "y", "own": "own_b"}), linked.select("field", "own_b", "x"), ["field", "own_b"], ["y"])
+    return linked.where("x <> y").select("field", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
 def lookalike_classes(records: DataFrame) -> DataFrame:
-    """``field``, ``rec_id``, ``class_id``, ``n_strings``: one row per record with the class of records that look like it.
+    """``field``, ``rec_id``, ``class_id``, ``n_strings``, ``n_links``: one row per record with the class of records that look like it.
 
-    ``class_id`` is the least id of the class; ``n_strings`` counts the class's different strings.
+    ``class_id`` is the least id of the class, ``n_strings`` counts the class's different strings, and
+    ``n_links`` the records of the class whose string differs from the record's own: its pairs. A
+    record that comes with several texts is in the class of each.
     """
     rows = materialize(shapes(records), "shapes")
-    strings = rows.groupBy("field", "shape", "own").agg(F.min("rec_id").alias("class_id"))
-    classes = strings.groupBy("field", "shape").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n_strings"))
-    return attach(rows, classes, ["field", "shape"], ["rec_id"]).select("field", "rec_id", "class_id", "n_strings")
+    strings = rows.groupBy("field", "shape", "own").agg(F.min("rec_id").alias("least"), F.count("*").alias("same"))
+    classes = strings.groupBy("field", "shape").agg(F.min("least").alias("class_id"), F.count("*").alias("n_strings"), F.sum("same").alias("n"))
+    per_string = attach(strings, classes, ["field", "shape"], ["own"]).select("field", "shape", "own", "class_id", "n_strings", (F.col("n") - F.col("same")).alias("n_links"))
+    return attach(rows, per_string, ["field", "shape", "own"], ["rec_id"]).select("field", "rec_id", "class_id", "n_strings", "n_links")

@@ -59,10 +59,25 @@ def test_pairs(spark):
     assert len(got) == len(set(got)) and set(got) == want
     classes = {(r.field, r.rec_id): (r.class_id, r.n_strings) for r in lookalike_classes(df).collect()}
     assert classes["snippet", 2000] == (1000, 2) and classes["snippet", 1050] == (1000, 2)
+    links = {(r.field, r.rec_id): r.n_links for r in lookalike_classes(df).collect()}
+    assert all(links[f, i] == sum(1 for g, a, b in want if g == f and i in (a, b)) for f, i in links)
     assert lookalike_pairs(df.limit(0)).count() == lookalike_classes(df.limit(0)).count() == 0
     assert {r.form for r in forms(records(spark, [("s", 1, None), ("s", 2, ""), ("s", 3, "Ａ" * 5000)])).collect()} == {None, "", "A" * 5000}
 
 
+@pytest.mark.parametrize("a,b", ["ᴀꭺ", "vᴠ", "zᴢ", "sꜱ", "wѡ", "足⻊", "肉⺼", "辶⻌", "一ー", "нʜ"])
+def test_small_capitals_and_radicals(a, b):
+    assert skeleton(a) == skeleton(b)
+
+
+def test_many_equal_strings_and_one_alike(spark):
+    df = spark.range(200_000).select(F.lit("s").alias("field"), F.col("id").alias("rec_id"), F.when(F.col("id") == 77, F.lit("sto\u0441k")).otherwise(F.lit("stock")).alias("text"))
+    started = time.time()
+    got = lookalike_pairs(df)
+    assert got.count() == 199_999 and got.where("id_a <> 77 AND id_b <> 77").count() == 0
+    assert time.time() - started < 120
+
+
 # --- encoding damage
 
 
