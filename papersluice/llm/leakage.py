@@ -59,8 +59,14 @@ PAIRS_AT_ONCE = 1 << 21
 RAREST = 0.0001
 #: Length of the stretch of a document in which a passage is looked for, in passage lengths.
 STRETCH = 2.5
-#: Passages searched for in one pass over the corpus.
-PASSAGES_AT_ONCE = 20_000
+#: Passages searched for in one pass over the corpus: what a task holds of them is bounded by it.
+PASSAGES_AT_ONCE = 5_000
+#: Cosines computed at once.
+COSINES_AT_ONCE = 1 << 22
+#: Items and characters of passages that are taken as a query set; it is collected, so more are refused.
+MOST_ITEMS, MOST_CHARS = 200_000, 200_000_000
+#: Parts in which the partial products (terms x few numbers) are added up.
+PIECES = 8
 
 
 # --- projection ------------------------------------------------------------------------------
@@ -207,8 +213,7 @@ def randomised_svd(texts: DataFrame, idf: np.ndarray, seed: int = 7) -> np.ndarr
     """
     width = RANK + OVERSAMPLING
     basis = np.random.default_rng(seed).standard_normal((BUCKETS, width)).astype(np.float32)
-    spark = texts.sparkSession
-    pieces = 8
+    spark, pieces = texts.sparkSession, PIECES
 
     def product(x: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast(x)
@@ -364,10 +369,9 @@ class Passages:
     length: list[int] = field(default_factory=list)
 
     @classmethod
-    def of(cls, ids: Sequence, texts: Sequence[str], answers: Sequence[str | None], own: Sequence[set[str]], share: Sequence[dict[str, float]]) -> Passages:
-        """``own``: distinctive terms of each passage. ``share``: of the corpus, without what holds a part of the passage, that has each of them."""
+    def of(cls, ids: Sequence, split: Sequence[list[list[str]]], answers: Sequence[str | None], own: Sequence[set[str]], share: Sequence[dict[str, float]]) -> Passages:
+        """``split``: sentences of terms. ``own``: distinctive terms of each passage. ``share``: of the corpus, without what holds a part of the passage, that has each of them."""
         self = cls(list(ids))
-        split = [split_tokens(t) for t in texts]
         having = defaultdict(list)
         for i, (p, answer) in enumerate(zip(split, answers)):
             self.length.append(sum(map(len, p)))
@@ -471,14 +475,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, cosine: float | None = None) -
     rows. Texts of any length are searched whole, every document is searched, and a document may
     hold any number of passages. ``cosine`` of -1 makes every document a candidate for all items.
 
-    The items are a query set: they are collected, and searched for in rounds of PASSAGES_AT_ONCE,
-    each of which reads the corpus once. Documents are never shuffled.
+    The items are a query set: they are collected (at most MOST_ITEMS with MOST_CHARS, else ValueError),
+    and searched for in rounds of PASSAGES_AT_ONCE, each of which reads the corpus once. Documents are
+    not shuffled (but a corpus in few files is spread over the cores first).
     """
     spark = docs.sparkSession
     doc_type, item_type = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     schema = f"item_id {item_type}, doc_id {doc_type}"
     least = COSINE if cosine is None else cosine
     wanted = items.select("item_id", "passage", "answer").where("item_id IS NOT NULL AND passage IS NOT NULL AND passage <> ''").dropDuplicates(["item_id", "passage"])
+    size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("passage")), F.lit(0)).alias("chars")).first()
+    if size.n > MOST_ITEMS or size.chars > MOST_CHARS:
+        raise ValueError(f"{size.n} items with {size.chars} characters are more than a query set may have ({MOST_ITEMS}, {MOST_CHARS}): search for them in parts")
     wanted = wanted.orderBy("item_id", "passage").toPandas()
     corpus = spread(docs.select("doc_id", "text").where("text IS NOT NULL AND text <> ''"))
     if wanted.empty:
@@ -493,13 +501,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, cosine: float | None = None) -
     idf = np.log((1 + n) / (1 + df)).astype(np.float32)
     share = max(1, n // FIT_DOCUMENTS)
     sample = corpus.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text")
-    basis = randomised_svd(materialize(sample.union(wanted_frame(items)).repartition(8), "svd-fit"), idf)
+    basis = randomised_svd(materialize(sample.union(wanted_frame(items)).repartition(spark.sparkContext.defaultParallelism), "svd-fit"), idf)
     directions = np.ascontiguousarray(basis * idf[:, None])
 
     found = None
     for at in range(0, len(wanted), PASSAGES_AT_ONCE):
         part = wanted.iloc[at : at + PASSAGES_AT_ONCE]
-        passages = Passages.of(part.item_id.tolist(), part.passage.tolist(), [a if isinstance(a, str) else None for a in part.answer], own[at : at + PASSAGES_AT_ONCE], share_of[at : at + PASSAGES_AT_ONCE])
+        passages = Passages.of(part.item_id.tolist(), split[at : at + PASSAGES_AT_ONCE], [a if isinstance(a, str) else None for a in part.answer], own[at : at + PASSAGES_AT_ONCE], share_of[at : at + PASSAGES_AT_ONCE])
         ids, bounds = terms(chars(part.passage.tolist()), BUCKETS)
         vectors, owner = project(ids, bounds, directions)
         query = np.zeros((len(part), RANK), np.float32)
@@ -541,10 +549,11 @@ def _near(texts: list[str], query: np.ndarray, directions: np.ndarray, least: fl
     order = np.argsort(owner, kind="stable")
     vectors, owner = vectors[order], owner[order]
     out: dict[int, np.ndarray] = {}
-    for lo in range(0, len(vectors), 8192):
-        of = owner[lo : lo + 8192]
+    step = max(64, COSINES_AT_ONCE // max(1, len(query)))
+    for lo in range(0, len(vectors), step):
+        of = owner[lo : lo + step]
         first = np.flatnonzero(np.diff(of, prepend=-1))
-        near = np.maximum.reduceat(vectors[lo : lo + 8192] @ query.T, first, axis=0) >= least
+        near = np.maximum.reduceat(vectors[lo : lo + step] @ query.T, first, axis=0) >= least
         for doc, row in zip(of[first].tolist(), near):
             if row.any():
                 out[doc] = out[doc] | row if doc in out else row

@@ -356,6 +356,26 @@ def test_leaks_of_a_passage_of_many_items(spark):
     assert leakage.copies([{"a", "b"}, {"a", "b"}, {"c"}, {"a", "b", "d"}, set(), set()]) == [0, 0, 1, 0, 2, 2]
 
 
+def test_leaks_in_rounds(spark, monkeypatch):
+    items = passages(30)
+    docs = spark.createDataFrame([(i, f"The report was filed.\n{items[i % 30]}\nAbout 12 folders were copied." if i < 30 else "The report was filed.") for i in range(90)], "doc_id bigint, text string")
+    q = spark.createDataFrame([(i, p, None) for i, p in enumerate(items)], "item_id bigint, passage string, answer string")
+    monkeypatch.setattr(leakage, "PASSAGES_AT_ONCE", 12)
+    monkeypatch.setattr(leakage, "COSINES_AT_ONCE", 256)
+    assert {tuple(r) for r in leakage.find_leaks(docs, q).collect()} == {(i, i) for i in range(30)}
+    monkeypatch.setattr(leakage, "MOST_ITEMS", 29)
+    with pytest.raises(ValueError):
+        leakage.find_leaks(docs, q)
+
+
+@pytest.mark.parametrize("many", [3, 6])
+def test_leaks_of_one_passage_in_one_document(spark, many):
+    items = passages(21)
+    q = spark.createDataFrame([(i, items[max(0, i - many + 1)], None) for i in range(20 + many)], "item_id bigint, passage string, answer string")
+    docs = spark.createDataFrame([(i, f"The report was filed.\n{items[0]}\nThe end." if i == 7 else f"The report {i} was filed.") for i in range(120)], "doc_id bigint, text string")
+    assert {tuple(r) for r in leakage.find_leaks(docs, q).collect()} == {(i, 7) for i in range(many)}
+
+
 def test_leaks_lose_no_candidate(spark, data):
     docs, items = (spark.read.parquet(f"{data[: -len('sf0.001')]}sf0.1/{t}.parquet") for t in ("documents", "eval_items"))
     found = lambda cosine: {tuple(r) for r in leakage.find_leaks(docs, items, cosine).collect()}
