@@ -118,11 +118,13 @@ class Engine:
         changed = actions.where(F.col("action").isin(index.ADDED, index.UPDATED))
         texts = read_texts(changed, index.MAX_CHARS, index.MAX_FILE_BYTES) if batch.include_content else None
         fresh = materialize(index.to_documents(changed, texts, batch.include_content), "fresh")
-        after = index.apply_changes(docs.limit(0) if full_rebuild else docs, actions, fresh)
-        postings = None if full_rebuild else index.apply_to_postings(self.store.postings(), actions, fresh)
         if self._stop.is_set():
             raise Cancelled("stopped")
-        self.store.commit(f"{batch.id}-{uuid.uuid4().hex}", after, postings)
+        run, made = f"{batch.id}-{uuid.uuid4().hex}", fresh.where("ok")
+        if full_rebuild:
+            self.store.commit(run, made)
+        else:
+            self.store.apply(run, made, actions.where(F.col("action") == index.REMOVED))
         row = index.run_stats(actions, fresh, self.store.read()).first().asDict()
         return RunResult(batch, **row, errors=[tuple(r) for r in index.errors(fresh).collect()])
 
@@ -132,8 +134,8 @@ class Engine:
         if not id_.strip():
             return
         with self._exclusive():
-            left = index.delete_batch(self.store.read(), id_)
-            self.store.commit(f"delete-{uuid.uuid4().hex}", left, self.store.postings().join(left.select("path"), "path", "left_semi"))
+            docs = self.store.read()
+            self.store.apply(f"delete-{uuid.uuid4().hex}", docs.limit(0), docs.where(F.col("batch") == id_))
             self.batches.remove(id_)
 
     def clear(self) -> None:

@@ -1,10 +1,10 @@
 """Processing only new or changed records, with the target as the only state.
 
 The target is a folder of published versions. Every row in it carries the source key and the
-version of the source row it came from, so what is still to be done is the source anti-joined
-against the target; no other bookkeeping can get out of step. A version becomes visible by one
-atomic rename of its manifest: a run that fails before it leaves nothing behind, and a run that is
-repeated after it finds its version there and does nothing.
+version of the source row it came from, so what is still to be done is the source less what the
+target holds in that version or a later one; no other bookkeeping can get out of step. A version
+becomes visible when its manifest is made, at once and for one writer only: a run that fails before
+leaves nothing behind, and a run that is repeated after finds its version there and does nothing.
 """
 
 from __future__ import annotations
@@ -13,81 +13,100 @@ import json
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from papersluice.shared import SharedFolder
+
 #: Published versions after which the state is rewritten as one.
 COMPACT_AFTER = 16
+#: Seconds after which data that no version names is taken for left behind by a failed writer.
+ABANDONED_AFTER = 24 * 3600
 
 
 class VersionedTarget:
-    """Published versions in a shared folder, through Hadoop's file system API."""
+    """Published versions in a shared folder.
+
+    A manifest that is missing, cut short or otherwise damaged counts as a version that was never
+    published: readers get the last good state, and rows that only it held are done again.
+    """
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-        self._jvm = spark.sparkContext._jvm
-        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.folder = SharedFolder(spark, self.root)
+        self._known: dict[str, dict] = {}
 
-    def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+    def _numbers(self) -> list[str]:
+        return [n for n in self.folder.names("_published") if n.endswith(".json")]
 
     def manifests(self) -> list[dict]:
-        """Published versions, oldest first."""
-        at = self._path("_published")
-        if not self._fs.exists(at):
-            return []
-        names = sorted(f.getPath().getName() for f in self._fs.listStatus(at))
-        return [json.loads(self._read(f"_published/{n}")) for n in names if n.endswith(".json")]
-
-    def _read(self, name: str) -> str:
-        stream = self._fs.open(self._path(name))
-        try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
+        """Published versions with their numbers (``no``), oldest first. A manifest never changes, so each is read once."""
+        out = []
+        for n in self._numbers():
+            if n not in self._known:
+                m = self.folder.load(f"_published/{n}")
+                if not isinstance(m, dict) or not {"run", "data", "replaces"} <= m.keys() or not self.folder.exists(m["data"]):
+                    continue
+                self._known[n] = m | {"no": int(n[:-5])}
+            out.append(self._known[n])
+        return out
+
+    def published(self, run: str) -> bool:
+        return any(m["run"] == run for m in self.manifests())
 
     def publish(self, run: str, df: DataFrame, replaces: bool = False, beside: dict[str, DataFrame] | None = None) -> bool:
         """Writes ``df`` and makes it visible as the version of ``run``; False if ``run`` is already there.
 
-        Tables ``beside`` it become visible with it. Of two writers that race for the same version number one fails on the rename and nothing of
-        it is seen.
+        Tables ``beside`` it become visible with it. Of two writers that race for the same version
+        number one fails, and nothing of it is seen.
         """
-        done = self.manifests()
-        if any(m["run"] == run for m in done):
+        if self.published(run):
             return False
-        data = f"data/{len(done):08d}-{uuid.uuid4().hex}"
+        number = max((int(n[:-5]) for n in self._numbers()), default=-1) + 1
+        data = f"data/{number:08d}-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{data}")
         for name, other in (beside or {}).items():
             other.write.parquet(f"{self.root}/{data}-{name}")
-        staged = self._path(f"_staged/{uuid.uuid4().hex}.json")
-        out = self._fs.create(staged, False)
-        out.write(bytearray(json.dumps({"run": run, "data": data, "replaces": replaces, "beside": sorted(beside or {})}).encode()))
-        out.close()
-        self._fs.mkdirs(self._path("_published"))
-        final = self._path(f"_published/{len(done):08d}.json")
-        if self._fs.exists(final) or not self._fs.rename(staged, final):
-            raise RuntimeError(f"version {len(done)} was published by another writer")
+        if not self.folder.claim(f"_published/{number:08d}.json", json.dumps({"run": run, "data": data, "replaces": replaces, "beside": sorted(beside or {})})):
+            for name in ("", *(f"-{n}" for n in beside or {})):
+                self.folder.remove(data + name)
+            raise RuntimeError(f"version {number} was published by another writer")
         return True
 
-    def latest(self, name: str, schema: str) -> DataFrame | None:
-        """The table ``name`` beside the last version; None if there is none."""
+    def current(self) -> list[dict]:
+        """The versions that make up the state: the last one that replaces all before, and those after it."""
         found = self.manifests()
-        if not found or name not in found[-1].get("beside", []):
-            return None
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{found[-1]['data']}-{name}")
+        return found[max((i for i, m in enumerate(found) if m["replaces"]), default=0) :]
+
+    def table(self, m: dict, name: str = "", schema: str | T.StructType | None = None) -> DataFrame:
+        """What a version published, or the table ``name`` beside it."""
+        return self.spark.read.schema(schema or self.schema).parquet(f"{self.root}/{m['data']}" + (f"-{name}" if name else ""))
 
     def read(self, kind: str = "state") -> DataFrame:
         """``state``: rows since the last compaction; ``deltas``: what every run published."""
-        found = self.manifests()
-        if kind == "state":
-            last = max((i for i, m in enumerate(found) if m["replaces"]), default=0)
-            found = found[last:]
-        else:
-            found = [m for m in found if not m["replaces"]]
+        found = self.current() if kind == "state" else [m for m in self.manifests() if not m["replaces"]]
         reader = self.spark.read.schema(self.schema)
         return reader.parquet(*[f"{self.root}/{m['data']}" for m in found]) if found else self.spark.createDataFrame([], self.schema)
 
+    def vacuum(self, keep: int = 1) -> int:
+        """Removes the data that only states before the last ``keep`` consist of, and what failed writers left; the number of tables removed.
+
+        For targets whose state is all that is wanted (an index): the rows that runs put out go as well.
+        """
+        found = self.manifests()
+        whole = [i for i, m in enumerate(found) if m["replaces"]]
+        kept = {m["data"] for m in (found[whole[-keep] :] if len(whole) >= keep else found)}
+        named = {m["data"] for m in found}
+        gone = 0
+        for n in self.folder.names("data"):
+            base = "data/" + "-".join(n.split("-")[:2])
+            if base not in kept and (base in named or self.folder.age(f"data/{n}") > ABANDONED_AFTER):
+                self.folder.remove(f"data/{n}")
+                gone += 1
+        self._known.clear()
+        return gone
+
 
 class IncrementalFeed:
     """Applies a feed of observed row versions to a target, run by run.
@@ -109,38 +128,30 @@ class IncrementalFeed:
         best = df.groupBy(self.key).agg(F.max(F.struct(*self.order, *self.fields)).alias("best"))
         return best.select(self.key, "best.*")
 
-    def run(self, run: str, upto, since=None) -> bool:
+    def run(self, run: str, upto) -> bool:
         """Publishes what is new or changed among the rows that arrived by ``upto``; False if ``run`` was published before.
 
-        ``since``: the ``upto`` of the run published last. Rows that had arrived then are in the
-        target's state, so only later arrivals are read (the filter reaches the scan).
+        What is new is derived from the target's keys and versions alone, so a row that comes to the
+        feed late, whatever its time of arrival says, is done by the next run. State and source meet
+        in one join on the key: source versions that the target holds, or holds later ones of, drop out.
         """
-        if any(m["run"] == run for m in self.target.manifests()):
+        if self.target.published(run):
             return False
         when = self.feed.schema[self.arrival].dataType
         arrived = self.feed.where(F.col(self.arrival) <= F.lit(str(upto)).cast(when))
-        if since is not None:
-            arrived = arrived.where(F.col(self.arrival) > F.lit(str(since)).cast(when))
-        state = self._newest(self.target.read().select(*self.columns))
-        source = self._newest(arrived.select(*self.columns))
-        # Versions the target does not hold, by key and version.
-        unseen = source.alias("n").join(state.alias("o"), [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in (self.key, *self.order)], "left_anti")
-        n, o = [F.struct(*[F.col(f"{a}.{c}") for c in self.order]) for a in "no"]
-        same: Column = F.lit(True)
-        for c in self.fields:
-            same = same & F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}"))
-        known = F.col(f"o.{self.key}").isNotNull()
+        version = F.struct(*[F.col(c) for c in self.order])
+        values = F.struct(*[F.col(c) for c in self.fields])
+        held = self._newest(self.target.read().select(*self.columns)).select(self.key, version.alias("_version"), values.alias("_values"))
         ahead = (
-            unseen.join(state.alias("o"), F.col(f"n.{self.key}") == F.col(f"o.{self.key}"), "left")
-            .where(~known | (n > o))  # a late row older than the version held changes nothing
-            .select(*[F.col(f"n.{c}") for c in self.columns], (~known | ~same).alias("emitted"), F.lit(run).alias("run"))
+            self._newest(arrived.select(*self.columns))
+            .join(held, self.key, "left")
+            .where(F.col("_version").isNull() | (version > F.col("_version")))
+            .select(*self.columns, (F.col("_version").isNull() | ~values.eqNullSafe(F.col("_values"))).alias("emitted"), F.lit(run).alias("run"))
         )
         self.target.publish(run, ahead)
-        done = self.target.manifests()
-        last = max((i for i, m in enumerate(done) if m["replaces"]), default=0)
-        if len(done) - last > COMPACT_AFTER:
+        if len(self.target.current()) > COMPACT_AFTER:
             compact = self._newest(self.target.read().select(*self.columns)).select("*", F.lit(False).alias("emitted"), F.lit(None).cast("string").alias("run"))
-            self.target.publish(f"compact-{len(done)}", compact.select(*self.schema.names), replaces=True)
+            self.target.publish(f"compact-{uuid.uuid4().hex}", compact.select(*self.schema.names), replaces=True)
         return True
 
     def emitted(self) -> DataFrame:
@@ -164,8 +175,6 @@ def replay_runs(feed: DataFrame, runs: DataFrame, root: str) -> DataFrame:
     spark = feed.sparkSession
     log = successful_runs(runs).orderBy("started_at", "run_no").collect()
     inc = IncrementalFeed(spark, root, feed)
-    before = None
     for r in log:
-        inc.run(str(r.run_no), r.started_at, before)
-        before = r.started_at
+        inc.run(str(r.run_no), r.started_at)
     return inc.emitted().select(F.col("run").cast(dict(runs.dtypes)["run_no"]).alias("run_no"), "path")

@@ -9,6 +9,7 @@ files that are new or changed.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +18,15 @@ from pyspark.sql import types as T
 from papersluice.functions.router import OTHER
 from papersluice.operators.increments import VersionedTarget
 from papersluice.operators.search import build_postings
+from papersluice.session import broadcast_if_small
 
 MAX_CHARS = 4 * 1024 * 1024
 MAX_FILE_BYTES = 50 * 1024 * 1024
 MAX_ERRORS_SHOWN = 200
 
 ADDED, UPDATED, SKIPPED, REMOVED, KEPT = "added", "updated", "skipped", "removed", "kept"
+#: Deltas after which the store is written as one version; touched paths up to which they are broadcast.
+COMPACT_AFTER, TOUCHED_ROWS = 8, 500_000
 POSTINGS_SCHEMA = "field string, term string, path string, positions array<int>, tf int, n_terms int"
 DOC_SCHEMA = "path string, filename string, filetype string, batch string, size bigint, modified_ticks bigint, content string"
 
@@ -141,9 +145,11 @@ def batch_summary(batches: DataFrame, docs: DataFrame) -> DataFrame:
 class IndexStore:
     """Versions of the documents and their postings in a shared folder.
 
-    Each commit is a whole new version, published by one rename; readers keep the version they
-    opened. A missing store reads as an empty index. Postings lie sorted by term, so a query's terms
-    are found by the row groups' statistics.
+    A run publishes a delta: its new and changed documents, their postings, and the paths that are
+    gone; what it did not touch is not written again. After COMPACT_AFTER deltas all is written as one
+    version, and what only earlier states consist of is removed, the one before kept. Readers keep the
+    version they opened. A missing or damaged store reads as the last good state, or an empty index.
+    Postings lie sorted by term, so a query's terms are found by the row groups' statistics.
     """
 
     spark: SparkSession
@@ -152,19 +158,47 @@ class IndexStore:
     def __post_init__(self):
         self._target = VersionedTarget(self.spark, self.root, T._parse_datatype_string(DOC_SCHEMA))
 
+    def _live(self, name: str = "", schema: str = DOC_SCHEMA) -> DataFrame:
+        """The documents, or the table ``name`` beside them: of each path what the last version that touched it has."""
+        versions = self._target.current()
+        if not versions:
+            return self.spark.createDataFrame([], schema)
+        base, *deltas = versions
+        whole = self._target.table(base, name, schema)
+        if not deltas:
+            return whole
+        touched = [self._target.table(m).select("path").unionByName(self._target.table(m, "gone", "path string")).select("path", F.lit(m["no"]).alias("_last")) for m in deltas]
+        last = broadcast_if_small(reduce(DataFrame.unionByName, touched).groupBy("path").agg(F.max("_last").alias("_last")), TOUCHED_ROWS)
+        fresh = reduce(DataFrame.unionByName, [self._target.table(m, name, schema).withColumn("_no", F.lit(m["no"])) for m in deltas])
+        kept = fresh.join(last.withColumnRenamed("_last", "_no"), ["path", "_no"], "left_semi").drop("_no")
+        return whole.join(last, "path", "left_anti").unionByName(kept)
+
     def read(self) -> DataFrame:
-        return self._target.read()
+        return self._live()
 
     def postings(self) -> DataFrame:
-        kept = self._target.latest("postings", POSTINGS_SCHEMA)
-        return build_postings(self.read()) if kept is None else kept
+        return self._live("postings", POSTINGS_SCHEMA)
+
+    @staticmethod
+    def _ordered(postings: DataFrame) -> DataFrame:
+        return postings.select(*[c.split()[0] for c in POSTINGS_SCHEMA.split(", ")]).repartitionByRange("term", "path").sortWithinPartitions("term", "path")
 
     def commit(self, run: str, docs: DataFrame, postings: DataFrame | None = None) -> bool:
-        """False if ``run`` was committed before. ``postings``: of ``docs``; built if not given."""
+        """Puts ``docs`` in place of all there is; False if ``run`` was committed before. ``postings``: of ``docs``; built if not given."""
         docs = docs.select(*self._target.schema.names)
         made = build_postings(docs) if postings is None else postings
-        ordered = made.select(*[c.split()[0] for c in POSTINGS_SCHEMA.split(", ")]).repartitionByRange("term", "path").sortWithinPartitions("term", "path")
-        return self._target.publish(run, docs, replaces=True, beside={"postings": ordered})
+        return self._target.publish(run, docs, replaces=True, beside={"postings": self._ordered(made)})
+
+    def apply(self, run: str, fresh: DataFrame, gone: DataFrame) -> bool:
+        """Publishes the documents ``fresh`` (in place of those of their paths) and the removal of the paths ``gone``; False if ``run`` was committed before."""
+        fresh = fresh.select(*self._target.schema.names)
+        if not self._target.current():
+            return self.commit(run, fresh)
+        done = self._target.publish(run, fresh, beside={"postings": self._ordered(build_postings(fresh)), "gone": gone.select("path").distinct()})
+        if len(self._target.current()) > COMPACT_AFTER:
+            self.commit(f"compact-{run}", self.read(), self.postings())
+            self._target.vacuum(keep=2)
+        return done
 
     def count(self) -> int:
         return self.read().count()

@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from papersluice.functions.text import format_modified, format_size, from_ticks, lower, snippet, tokens
 from papersluice.plans.query import ANALYZED, MUST, MUST_NOT, Clause, parse_lenient, scored
-from papersluice.session import BROADCAST_ROWS, spread
+from papersluice.session import spread
 
 MAX_RESULTS = 500
+#: Results up to which the k best are brought to the driver to read their contents by path.
+COLLECTED_RESULTS = 1000
 FIELDS = ("path", "filename", "filetype", "batch", "size", "modified_ticks")
 
 
@@ -42,16 +44,37 @@ class _Stats:
 
 
 def _occurrences(arr: Column, terms: list[str], slop: int = 0) -> Column:
-    """How often the terms follow one another in ``arr`` (with up to ``slop`` others between, if given)."""
+    """How often the terms follow one another in ``arr`` (or stand within ``slop`` moves of it, if given)."""
     if len(terms) == 1:
         return F.size(F.filter(arr, lambda t: t == terms[0]))
     n = len(terms)
+    if slop:
+        return F.size(_close([_places(arr, t) for t in terms], slop))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(arr) - n + 1))
-    if not slop:
-        wanted = F.array(*[F.lit(t) for t in terms])
-        return F.when(F.size(arr) < n, F.lit(0)).otherwise(F.size(F.filter(starts, lambda i: (F.get(arr, i - 1) == terms[0]) & (F.slice(arr, i, n) == wanted))))
-    inside = F.size(F.filter(starts, lambda i: (F.get(arr, i - 1) == terms[0]) & F.aggregate(F.array(*[F.lit(t) for t in terms]), F.lit(True), lambda ok, t: ok & F.array_contains(F.slice(arr, i, n + slop), t))))
-    return F.when(F.size(arr) < n, F.lit(0)).otherwise(inside)
+    wanted = F.array(*[F.lit(t) for t in terms])
+    return F.when(F.size(arr) < n, F.lit(0)).otherwise(F.size(F.filter(starts, lambda i: (F.get(arr, i - 1) == terms[0]) & (F.slice(arr, i, n) == wanted))))
+
+
+def _places(arr: Column, term: str) -> Column:
+    return F.filter(F.transform(arr, lambda x, i: F.when(x == term, i)), lambda i: i.isNotNull())
+
+
+def _close(places: list[Column], slop: int) -> Column:
+    """Places of the first term from which all terms can be moved into their order by ``slop`` places in all.
+
+    The place of term i less i is where the phrase would begin; those beginnings have to lie within ``slop`` of one another.
+    """
+
+    def begins(other: Column, i: int, low: Column) -> Column:
+        return F.exists(other, lambda q: (q - i >= low) & (q - i <= low + slop))
+
+    def all_begin(low: Column) -> Column:
+        ok = F.lit(True)
+        for i, other in enumerate(places[1:], 1):
+            ok = ok & begins(other, i, low)
+        return ok
+
+    return F.filter(places[0], lambda at: F.exists(F.sequence(at - slop, at), all_begin))
 
 
 def _evaluate(clause: Clause, stats: _Stats) -> tuple[Column, Column]:
@@ -82,15 +105,7 @@ def _evaluate(clause: Clause, stats: _Stats) -> tuple[Column, Column]:
     match, score = F.lit(False), F.lit(0.0)
     for name in _fields(clause):
         if clause.kind == "range" and name not in ANALYZED:
-            value, (low, high) = F.col("modified_ticks" if name == "modified" else name), clause.terms
-            if name in ("size", "modified"):
-                low, high = (int(x) if x.lstrip("-").isdigit() else x for x in (low, high))
-            one = F.lit(True)
-            if low != "*":
-                one = one & (value >= F.lit(low) if clause.inclusive else value > F.lit(low))
-            if high != "*":
-                one = one & (value <= F.lit(high) if clause.inclusive else value < F.lit(high))
-            match, score = match | F.coalesce(one, F.lit(False)), F.lit(clause.boost)
+            match, score = match | _stored_range(clause, name), F.lit(clause.boost)
             continue
         arr = F.col(f"t_{name}")
         if clause.kind in ("term", "phrase"):
@@ -101,18 +116,34 @@ def _evaluate(clause: Clause, stats: _Stats) -> tuple[Column, Column]:
             match = match | (tf > 0)
             score = score + F.when(tf > 0, F.sqrt(tf.cast("double")) * idf * idf / F.sqrt(F.size(arr).cast("double"))).otherwise(0.0) * clause.boost
             continue
-        if clause.kind == "wildcard":
-            pattern = "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in clause.terms[0]) + "$"
-            one = F.exists(arr, lambda t: t.rlike(pattern))  # noqa: B023
-        elif clause.kind == "fuzzy":
-            one = F.exists(arr, lambda t: F.levenshtein(t, F.lit(clause.terms[0])) <= clause.slop)
-        else:
-            low, high = (x.lower() for x in clause.terms)
-            one = F.exists(arr, lambda t: ((t >= low) if clause.inclusive else (t > low)) & ((t <= high) if clause.inclusive else (t < high)))
-        match, score = match | one, F.lit(clause.boost)
+        match, score = match | F.exists(arr, lambda t: _term_like(clause, t)), F.lit(clause.boost)
     return match, score
 
 
+def _stored_range(clause: Clause, name: str) -> Column:
+    value, (low, high) = F.col("modified_ticks" if name == "modified" else name), clause.terms
+    if name in ("size", "modified"):
+        low, high = (int(x) if x.lstrip("-").isdigit() else x for x in (low, high))
+    one = F.lit(True)
+    if low != "*":
+        one = one & (value >= F.lit(low) if clause.inclusive else value > F.lit(low))
+    if high != "*":
+        one = one & (value <= F.lit(high) if clause.inclusive else value < F.lit(high))
+    return F.coalesce(one, F.lit(False))
+
+
+def _term_like(clause: Clause, term: Column) -> Column:
+    """Whether ``term`` is one of a wildcard, fuzzy or range clause; what can be reaches the scan of an index sorted by term."""
+    if clause.kind == "wildcard":
+        text = clause.terms[0]
+        pattern = "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in text) + "$"
+        return term.startswith(re.match(r"[^*?]*", text).group()) & term.rlike(pattern)
+    if clause.kind == "fuzzy":
+        return F.levenshtein(term, F.lit(clause.terms[0])) <= clause.slop
+    low, high = (x.lower() for x in clause.terms)
+    return ((term >= low) if clause.inclusive else (term > low)) & ((term <= high) if clause.inclusive else (term < high))
+
+
 def search(docs: DataFrame, query: str | None, k: int = MAX_RESULTS, batch: str | None = None, snippets: bool = False) -> DataFrame:
     """The best ``k`` documents: path, filename, filetype, batch, size, modified_ticks, modified, score [, snippet].
 
@@ -179,46 +210,54 @@ def build_postings(docs: DataFrame) -> DataFrame:
 
 
 def search_postings(postings: DataFrame, docs: DataFrame, query: str | None, k: int = MAX_RESULTS, batch: str | None = None, snippets: bool = False) -> DataFrame:
-    """``search`` for queries of terms and phrases over an index; other kinds need ``search``.
+    """``search`` over an index: same results, without analyzing a document.
 
-    Only the postings of the query's terms are read (the filter reaches the scan and, with postings
-    sorted by term, skips most row groups). They are gathered per document, where phrases are
-    matched on positions.
+    Only the postings of the query's terms, and of those that its wildcards, fuzzy terms and ranges
+    stand for, are read (the filter reaches the scan and, with postings sorted by term, skips most row
+    groups). They are gathered per document, where phrases are matched on positions, ranked and cut
+    to ``k``; stored fields join those k rows, and contents are read for them only. Clauses on stored
+    fields (exact, ranges of size and the like) read those fields of all documents, but no contents.
     """
     root = parse_lenient(query)
-    if root is not None and not _only_terms(root):
-        return search(docs, query, k, batch, snippets)
-    terms = sorted({t for c in _leaves(root) for t in c.terms}) if root else []
-    hits = postings.where(F.col("term").isin(terms))
-    n = docs.count()
-    having = {_key(r.field, r.term): r.n for r in hits.groupBy("field", "term").agg(F.count("*").alias("n")).collect()}
-    stats = _Stats(n, having)
-    wide = hits.groupBy("path").agg(F.collect_list(F.struct("field", "term", "positions", "n_terms")).alias("p"))
+    leaves = _leaves(root) if root else []
+    terms = sorted({t for c in leaves if c.kind in ("term", "phrase") for t in c.terms})
+    like = [c for c in leaves if c.kind in ("wildcard", "fuzzy") or c.kind == "range" and any(f in ANALYZED for f in _fields(c))]
+    stored = any(c.kind == "exact" or c.kind == "range" and any(f not in ANALYZED for f in _fields(c)) for c in leaves)
+    wanted = F.col("term").isin(terms)
+    for c in like:
+        wanted = wanted | _term_like(c, F.col("term"))
+    hits = postings.where(wanted)
+    counted = hits.where(F.col("term").isin(terms)).groupBy("field", "term").agg(F.count("*").alias("n")).collect() if terms else []
+    stats = _Stats(docs.count() if terms else 0, {_key(r.field, r.term): r.n for r in counted})
+    places = F.when(F.col("term").isin(terms), F.col("positions"))
+    wide = hits.groupBy("path").agg(F.collect_list(F.struct("field", "term", places.alias("positions"), "n_terms")).alias("p"))
+    if stored:
+        wide = docs.select(*FIELDS).join(wide, "path", "left").withColumn("p", F.coalesce("p", F.expr("cast(array() AS array<struct<field:string,term:string,positions:array<int>,n_terms:int>>)")))
     match, score = _gathered(root, stats) if root else (F.lit(False), F.lit(0.0))
     ranked = wide.where(match).select("path", F.round(score, 6).alias("score"))
-    joined = docs.select(*FIELDS).join(ranked, "path")
     if batch:
-        joined = joined.where(F.col("batch") == batch)
-    best = joined.orderBy(F.desc("score"), "path").limit(k).select(*_stored(), "score")
-    if not snippets:
-        return best
-    # Contents are read for the k results only.
-    texts = docs.select("path", snippet(F.col("content"), query or "").alias("snippet"))
-    return texts.join(F.broadcast(best) if k <= BROADCAST_ROWS else best, "path").select(*best.columns, "snippet").orderBy(F.desc("score"), "path")
+        ranked = ranked.join(docs.where(F.col("batch") == batch).select("path"), "path", "left_semi")
+    top = ranked.orderBy(F.desc("score"), "path").limit(k)
+    if k > COLLECTED_RESULTS:
+        kept = docs.select(*FIELDS, *["content"] * snippets).join(top, "path")
+    else:
+        rows = top.collect()
+        kept = docs.where(F.col("path").isin([r.path for r in rows])).select(*FIELDS, *["content"] * snippets).join(F.broadcast(docs.sparkSession.createDataFrame(rows, "path string, score double")), "path")
+    return kept.select(*_stored(), "score", *([snippet(F.col("content"), query or "").alias("snippet")] if snippets else [])).orderBy(F.desc("score"), "path")
 
 
 def _leaves(c: Clause) -> list[Clause]:
     return [x for y in c.clauses for x in _leaves(y)] if c.kind == "group" else [c]
 
 
-def _only_terms(root: Clause) -> bool:
-    return all(c.kind in ("term", "phrase") and not c.slop for c in _leaves(root))
-
-
 def _posting(name: str, term: str) -> Column:
     return F.get(F.filter("p", lambda x: (x["field"] == name) & (x["term"] == term)), 0)
 
 
+def _some_like(clause: Clause, name: str) -> Column:
+    return F.exists("p", lambda x: (x["field"] == name) & _term_like(clause, x["term"]))
+
+
 def _followed(places: Column, others: Column, by: int) -> Column:
     return F.filter(places, lambda x: F.array_contains(others, x + by))
 
@@ -227,24 +266,39 @@ def _gathered(clause: Clause, stats: _Stats) -> tuple[Column, Column]:
     """As _evaluate, over the array ``p`` of a document's postings."""
     if clause.kind == "group":
         return _evaluate_group(clause, stats)
+    if clause.kind == "exact":
+        return _evaluate(clause, stats)
     match, score = F.lit(False), F.lit(0.0)
     for name in _fields(clause):
-        first = _posting(name, clause.terms[0])
-        places = F.coalesce(first["positions"], F.array().cast("array<int>"))
-        for i, t in enumerate(clause.terms[1:], 1):
-            places = _followed(places, F.coalesce(_posting(name, t)["positions"], F.array().cast("array<int>")), i)
+        if clause.kind not in ("term", "phrase"):
+            if clause.kind == "range" and name not in ANALYZED:
+                one = _stored_range(clause, name)
+            else:
+                one = _some_like(clause, name)
+            match, score = match | one, F.lit(clause.boost)
+            continue
+        none = F.array().cast("array<int>")
+        found = [F.coalesce(_posting(name, t)["positions"], none) for t in clause.terms]
+        if clause.slop and len(found) > 1:
+            places = _close(found, clause.slop)
+        else:
+            places = found[0]
+            for i, others in enumerate(found[1:], 1):
+                places = _followed(places, others, i)
         tf = F.size(places)
         idf = F.lit(0.0)
         for t in clause.terms:
             idf = idf + stats.idf(name, t)
         match = match | (tf > 0)
-        score = score + F.when(tf > 0, F.sqrt(tf.cast("double")) * idf * idf / F.sqrt(first["n_terms"].cast("double"))).otherwise(0.0) * clause.boost
+        score = score + F.when(tf > 0, F.sqrt(tf.cast("double")) * idf * idf / F.sqrt(_posting(name, clause.terms[0])["n_terms"].cast("double"))).otherwise(0.0) * clause.boost
     return match, score
 
 
 def _evaluate_group(clause: Clause, stats: _Stats) -> tuple[Column, Column]:
     parts = [(c, *_gathered(c, stats)) for c in clause.clauses]
     positive = [(m, s) for c, m, s in parts if c.occur != MUST_NOT]
+    if not positive:
+        return F.lit(False), F.lit(0.0)
     match, required = F.lit(True), False
     for c, m, _ in parts:
         if c.occur == MUST:
@@ -259,7 +313,7 @@ def _evaluate_group(clause: Clause, stats: _Stats) -> tuple[Column, Column]:
     score, hits = F.lit(0.0), F.lit(0)
     for m, s in positive:
         score, hits = score + F.when(m, s).otherwise(0.0), hits + m.cast("int")
-    return match, score * hits / F.lit(float(max(1, len(positive)))) * clause.boost
+    return match, score * hits / F.lit(float(len(positive))) * clause.boost
 
 
 def present(results: DataFrame) -> DataFrame:

@@ -32,8 +32,9 @@ def _tf(arr: str, c: Clause) -> str:
         return f"len(list_filter({arr}, lambda t: t = {_text(c.terms[0])}))"
     starts = f"range(1, greatest(1, len({arr}) - {n} + 1) + 1)"
     if c.slop:
-        test = " AND ".join(f"list_contains({arr}[i:i+{n + c.slop - 1}], {_text(t)})" for t in c.terms)
-        return f"len(list_filter({starts}, lambda i: {arr}[i] = {_text(c.terms[0])} AND {test} AND len({arr}) >= {n}))"
+        places = [f"list_filter(range(0, len({arr})), lambda j: {arr}[j + 1] = {_text(t)})" for t in c.terms]
+        near = " AND ".join(f"len(list_filter({p}, lambda q: q - {i} >= low AND q - {i} <= low + {c.slop})) > 0" for i, p in enumerate(places) if i)
+        return f"len(list_filter({places[0]}, lambda a: len(list_filter(range(a - {c.slop}, a + 1), lambda low: {near})) > 0))"
     return f"len(list_filter({starts}, lambda i: {arr}[i:i+{n - 1}] = {_list(c.terms)}))"
 
 

@@ -9,6 +9,7 @@ from papersluice.operators import index, rules, search
 from papersluice.operators.increments import IncrementalFeed, VersionedTarget, replay_runs
 from papersluice.operators.skew import attach, pairs_within
 from papersluice.operators.snapshot_diff import snapshot_changes
+from papersluice.shared import SharedFolder
 from papersluice.plans.query import QueryError, analyze, parse, parse_lenient
 
 DOC = "path string, filename string, filetype string, batch string, size bigint, modified_ticks bigint, content string"
@@ -94,7 +95,7 @@ def test_search(spark):
     assert found(df.limit(0), "alpha") == []
 
 
-@pytest.mark.parametrize("q", ["alpha beta", "+机密 -草稿", '"项目计划书"', "foo-bar", "alpha AND beta", "filename:beta gamma", "-alpha", ""])
+@pytest.mark.parametrize("q", ["alpha beta", "+机密 -草稿", '"项目计划书"', "foo-bar", "alpha AND beta", "filename:beta gamma", "-alpha", "", "gam*", "b?ta +alp*", "gama~1 foo", '"baz foo"~3', '"baz foo"~2', '"foo baz"~1', "content:[gam TO gan]", "filetype:PDF +beta", "size:[0 TO 12] beta", "batch:b2", "(alpha OR gam*) AND beta"])
 def test_postings_agree(spark, q):
     df = docs(spark, ("contract.txt", "机密 财务报告 alpha"), ("draft.txt", "机密 草稿 alpha beta beta"), ("beta-plan.txt", "项目计划书 beta gamma", "b2"), ("bar.txt", "foo bar; baz 哈哈哈哈"))
     a = [(r.path, r.score) for r in search.search(df, q).collect()]
@@ -192,16 +193,65 @@ def test_failed_runs_leave_nothing(spark, tmp_path, monkeypatch):
     f = spark.createDataFrame(rows, "feed_id bigint, path string, size bigint, modified_ticks bigint, batch string, observed_at timestamp, arrived_at timestamp")
     inc = IncrementalFeed(spark, str(tmp_path / "t"), f)
     upto = dt.datetime(2025, 1, 2)
-    real = VersionedTarget._path
-    monkeypatch.setattr(VersionedTarget, "_path", lambda self, name: (_ for _ in ()).throw(RuntimeError("lost")) if "_staged" in name else real(self, name))
+    real = SharedFolder.claim
+    monkeypatch.setattr(SharedFolder, "claim", lambda self, name, text: (_ for _ in ()).throw(RuntimeError("lost")))
     with pytest.raises(RuntimeError):
         inc.run("1", upto)
-    monkeypatch.setattr(VersionedTarget, "_path", real)
+    monkeypatch.setattr(SharedFolder, "claim", real)
     assert inc.emitted().count() == 0
     assert inc.run("1", upto) and not inc.run("1", upto)
     assert {r.path for r in inc.emitted().collect()} == {"a", "b"} and inc.emitted().count() == 2
 
 
+FEED = "feed_id bigint, path string, size bigint, modified_ticks bigint, batch string, observed_at timestamp, arrived_at timestamp"
+
+
+def test_late_rows_are_done(spark, tmp_path):
+    day = lambda d: dt.datetime(2025, 1, d)
+    rows = [(1, "a", 1, 1, "b", day(1), day(1))]
+    inc = IncrementalFeed(spark, str(tmp_path / "t"), spark.createDataFrame(rows, FEED))
+    assert inc.run("1", day(3))
+    rows.append((2, "late", 1, 1, "b", day(1), day(2)))  # reaches the feed after the run, though it arrived before
+    rows.append((0, "a", 9, 9, "b", dt.datetime(2024, 1, 1), day(4)))  # older than what is held
+    inc = IncrementalFeed(spark, str(tmp_path / "t"), spark.createDataFrame(rows, FEED))
+    assert inc.run("2", day(5)) and inc.run("3", day(6))
+    assert sorted((r.run, r.path) for r in inc.emitted().collect()) == [("1", "a"), ("2", "late")]
+
+
+def test_one_of_two_writers_wins(spark, tmp_path, monkeypatch):
+    schema = spark.createDataFrame([], "x int").schema
+    a, b = (VersionedTarget(spark, str(tmp_path / "t"), schema) for _ in range(2))
+    df = spark.createDataFrame([(1,)], schema)
+    real = SharedFolder.claim
+
+    def late(self, name, text):
+        monkeypatch.setattr(SharedFolder, "claim", real)
+        assert a.publish("first", df)
+        return real(self, name, text)
+
+    monkeypatch.setattr(SharedFolder, "claim", late)
+    with pytest.raises(RuntimeError):
+        b.publish("second", df)
+    assert [m["run"] for m in b.manifests()] == ["first"] and len(a.folder.names("data")) == 1
+    assert b.publish("second", df) and a.read().count() == 2
+
+
+def test_damaged_manifest(spark, tmp_path):
+    schema = spark.createDataFrame([], "x int").schema
+    t = VersionedTarget(spark, str(tmp_path / "t"), schema)
+    for i in range(3):
+        t.publish(str(i), spark.createDataFrame([(i,)], schema), replaces=True)
+    (tmp_path / "t/_published/00000002.json").write_text('{"run": "2"')
+    (tmp_path / "t/_published/.00000002.json.crc").unlink(missing_ok=True)
+    again = VersionedTarget(spark, str(tmp_path / "t"), schema)
+    assert [r.x for r in again.read().collect()] == [1]
+    assert again.publish("3", spark.createDataFrame([(3,)], schema), replaces=True) and [r.x for r in again.read().collect()] == [3]
+    assert again.vacuum() == 2 and [r.x for r in again.read().collect()] == [3]
+    for f in (tmp_path / "t/_published").iterdir():
+        f.write_text("x")
+    assert VersionedTarget(spark, str(tmp_path / "t"), schema).read().count() == 0
+
+
 def test_compaction(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("papersluice.operators.increments.COMPACT_AFTER", 2)
     day = lambda d: dt.datetime(2025, 1, d)
@@ -249,6 +299,7 @@ def test_store(spark, tmp_path):
     a = docs(spark, ("a", "x"))
     assert store.commit("1", a) and not store.commit("1", a)
     reader = store.read()
+    assert store.apply("1b", a.where("false"), a.where("false")) and store.count() == 1
     store.commit("2", docs(spark, ("b", "y"), ("c", "z")))
     assert reader.count() == 1 and store.count() == 2
     assert {r.term for r in store.postings().collect()} == {"b", "c", "y", "z"}
@@ -256,6 +307,24 @@ def test_store(spark, tmp_path):
     assert "PushedFilters" in plan and "term" in plan.split("PushedFilters")[1][:80]
 
 
+def test_store_of_deltas(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "COMPACT_AFTER", 3)
+    store, want = index.IndexStore(spark, str(tmp_path / "ix")), {}
+    rng = random.Random(4)
+    gone_schema = "path string"
+    for run in range(8):
+        fresh = {f"f{rng.randrange(9)}": f"word{rng.randrange(30)} run{run}" for _ in range(3)}
+        gone = {n for n in rng.sample(sorted(want), min(2, len(want))) if n not in fresh}
+        assert store.apply(str(run), docs(spark, *fresh.items()), spark.createDataFrame([(f"/d/{n}",) for n in gone], gone_schema))
+        want = {n: c for n, c in want.items() if n not in gone} | fresh
+        assert {r.filename: r.content for r in store.read().collect()} == want
+        assert {(r.path, r.term) for r in store.postings().where("field = 'content'").collect()} == {(f"/d/{n}", w) for n, c in want.items() for w in c.split()}
+    assert len(store._target.current()) <= 4 and not store.apply("7", docs(spark), spark.createDataFrame([], gone_schema))
+    assert len(store._target.folder.names("data")) < 3 * 10
+    plan = search.search_postings(store.postings(), store.read(), "word1 run7", snippets=True)._jdf.queryExecution().executedPlan().toString()
+    assert "path" in plan and "content" in plan and "In(path" in plan
+
+
 def test_postings_follow_changes(spark):
     have = docs(spark, ("a", "x one"), ("b", "y two"), ("c", "z"))
     actions = spark.createDataFrame([("/d/a", "updated"), ("/d/b", "removed"), ("/d/c", "skipped"), ("/d/n", "added")], "path string, action string")
