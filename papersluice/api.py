@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import threading
 import uuid
 from collections.abc import Iterable, Sequence
@@ -56,6 +57,9 @@ class Engine:
         self.settings_path = f"{self.home}/settings.json"
         self._gate, self._group = threading.Lock(), f"papersluice-{uuid.uuid4().hex}"
         self._stop = threading.Event()
+        self._current: str | None = None
+        self.truncated = False
+        self.log: logging.Logger = logging.getLogger("papersluice")
 
     @property
     def settings(self) -> Settings:
@@ -71,9 +75,12 @@ class Engine:
             yield
         except Exception as e:
             if self._stop.is_set():
+                self.log.warning("run stopped; nothing was committed")
                 raise Cancelled("stopped") from e
+            self.log.exception("run failed")
             raise
         finally:
+            self._current = None
             self.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
             self._gate.release()
 
@@ -92,6 +99,10 @@ class Engine:
         stages = [s for j in tracker.getJobIdsForGroup(self._group) if (info := tracker.getJobInfo(j)) for i in info.stageIds if (s := tracker.getStageInfo(i))]
         return sum(s.numCompletedTasks for s in stages), sum(s.numTasks for s in stages)
 
+    def current(self) -> str | None:
+        """What the run is at: the batch's root and the step."""
+        return self._current
+
     # --- scanning
 
     def scan(self, root: str, name: str = "", include_content: bool = True, exclude: Sequence[str] = (), full_rebuild: bool = False) -> RunResult:
@@ -112,20 +123,24 @@ class Engine:
             return self._run(batch, (), False)
 
     def _run(self, batch: Batch, exclude: Sequence[str], full_rebuild: bool) -> RunResult:
+        self._current = f"{batch.root_path}: listing"
         docs = self.store.read()
         files = list_files(self.spark, batch.root_path, exclude=[self.home, *exclude]).withColumn("batch", F.lit(batch.id))
         actions = materialize(index.diff(files, docs, self.removal_scope, batch.root_path, full_rebuild), "actions")
         changed = actions.where(F.col("action").isin(index.ADDED, index.UPDATED))
+        self._current = f"{batch.root_path}: reading"
         texts = read_texts(changed, index.MAX_CHARS, index.MAX_FILE_BYTES) if batch.include_content else None
         fresh = materialize(index.to_documents(changed, texts, batch.include_content), "fresh")
         if self._stop.is_set():
             raise Cancelled("stopped")
+        self._current = f"{batch.root_path}: indexing"
         run, made = f"{batch.id}-{uuid.uuid4().hex}", fresh.where("ok")
         if full_rebuild:
             self.store.commit(run, made)
         else:
             self.store.apply(run, made, actions.where(F.col("action") == index.REMOVED))
         row = index.run_stats(actions, fresh, self.store.read()).first().asDict()
+        self.log.info("batch %s of %s: %s", batch.id, batch.root_path, row)
         return RunResult(batch, **row, errors=[tuple(r) for r in index.errors(fresh).collect()])
 
     # --- batches
@@ -167,7 +182,10 @@ class Engine:
         return doc.select("path", s.alias("snippet")).withColumn("spans", highlight_spans(F.col("snippet"), query))
 
     def detect(self, path: str, include_content: bool = True, rule_list: Iterable[rules.Rule] | None = None, cap: int | None = rules.MAX_HITS) -> DataFrame:
-        """Hits in the files under ``path``, or in the file ``path``; reads the files, not the index."""
+        """Hits in the files under ``path``, or in the file ``path``; reads the files, not the index.
+
+        ``truncated`` of the engine then tells whether there are more than ``cap``.
+        """
         with self._exclusive():
             files = list_files(self.spark, path)
             used = list(self.rules.all() if rule_list is None else rule_list)
@@ -176,4 +194,9 @@ class Engine:
                 docs = files.join(texts, "path", "left")
             else:
                 docs = files.withColumn("content", F.lit(None).cast("string"))
-            return materialize(rules.detect(docs, used, include_content, cap), "hits")
+            if cap is None:
+                return materialize(rules.detect(docs, used, include_content, None), "hits")
+            # One more than wanted tells whether something was cut off.
+            found = materialize(rules.detect(docs, used, include_content, cap + 1), "hits").orderBy("path", "phase", "rule_ord")
+            self.truncated = found.count() > cap
+            return found.limit(cap)

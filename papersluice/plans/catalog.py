@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -94,6 +95,8 @@ from pyspark.sql import Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from papersluice.functions import router, text  # noqa: E402
+from functools import reduce  # noqa: E402
+
 from papersluice.operators import index, rules, search  # noqa: E402
 from papersluice.operators.order import ranked  # noqa: E402
 from papersluice.plans.oracle import DOCS, TOKENS, search_sql, snippet_sql  # noqa: E402
@@ -117,8 +120,7 @@ def _register(name: str, sql: str | None, plan: Callable[[DataFrame], DataFrame]
 
 
 _register("scan_project", f"WITH {DOCS} SELECT path, filename, ext, size, modified_ticks FROM docs", lambda d: d.select("path", "filename", "ext", "size", "modified_ticks"))
-_register("scan_order", f"WITH {DOCS} SELECT path, row_number() OVER (ORDER BY path) AS n FROM docs ORDER BY path LIMIT 100", lambda d: d.select("path").orderBy("path").limit(100).select("path", F.row_number().over(Window.orderBy("path")).alias("n")))
-_register("scan_order_all", f"WITH {DOCS} SELECT path, row_number() OVER (ORDER BY path) AS n FROM docs", lambda d: ranked(d.select("path"), "path"))
+_register("scan_order", f"WITH {DOCS} SELECT path, row_number() OVER (ORDER BY path) AS n FROM docs", lambda d: ranked(d.select("path"), "path"))
 _register("ext_filter", f"WITH {DOCS} SELECT path, ext FROM docs WHERE ext IN ('.txt', '.csv', '.zip')", lambda d: d.where(F.col("ext").isin(".txt", ".csv", ".zip")).select("path", "ext"))
 _register("exclude_dirs", f"WITH {DOCS} SELECT path FROM docs WHERE NOT starts_with(lower(path), '/srv/depot/training/') AND NOT starts_with(lower(path), '/srv/depot/legal/')", lambda d: d.where(~F.lower("path").startswith("/srv/depot/training/") & ~F.lower("path").startswith("/srv/depot/legal/")).select("path"))
 _LABELS = ", ".join(f"('{e}', '{router.label(e)}')" for e in sorted(router.EXTENSIONS))
@@ -196,20 +198,21 @@ _RULES = [
 ]
 
 
-def _rule_sql(cap: int | None = None) -> str:
+def _rule_sql(cap: int | None = None, used: Sequence[rules.Rule] = _RULES, most: int | None = None) -> str:
     def window(text_: str, at: str, size: str) -> str:
         return f"(CASE WHEN {at} > 41 THEN '…' ELSE '' END) || translate(substr({text_}, greatest(1, {at} - 40), least(length({text_}), {at} + {size} - 1 + 40) - greatest(1, {at} - 40) + 1), chr(10) || chr(13) || chr(9), '   ') || (CASE WHEN {at} + {size} - 1 + 40 < length({text_}) THEN '…' ELSE '' END)"
 
     parts = []
-    for i, r in rules.usable(_RULES):
+    for i, r in rules.usable(used):
         for kind, phase, col in (("filename", 0, "filename"), ("content", 1, "content")):
             if not (r.match_filename if phase == 0 else r.match_content):
                 continue
-            t = f"coalesce({col}, '')"
+            t = f"coalesce({col}, '')" if phase == 0 or most is None else f"CASE WHEN size > {most} THEN '' ELSE coalesce({col}, '') END"
+            t, pattern = f"({t})", r.pattern.replace(r"\d", r"\p{Nd}")  # digits of any script
             if r.type == "regex":
-                lead = f"(?s)^(.*?)({r.pattern})"
-                hit, at, size = f"regexp_matches({t}, '{r.pattern}')", f"(length(regexp_extract({t}, '{lead}', 1)) + 1)", f"length(regexp_extract({t}, '{lead}', 2))"
-                shown = f"regexp_extract({t}, '{r.pattern}')" if phase == 0 else window(t, at, size)
+                lead = f"(?s)^(.*?)({pattern})"
+                hit, at, size = f"regexp_matches({t}, '{pattern}')", f"(length(regexp_extract({t}, '{lead}', 1)) + 1)", f"length(regexp_extract({t}, '{lead}', 2))"
+                shown = f"regexp_extract({t}, '{pattern}')" if phase == 0 else window(t, at, size)
             else:
                 at, size = f"strpos(lower({t}), '{r.pattern.lower()}')", str(len(r.pattern))
                 hit, shown = f"{at} > 0", f"'{r.pattern}'" if phase == 0 else window(t, at, size)
@@ -219,13 +222,17 @@ def _rule_sql(cap: int | None = None) -> str:
 
 
 _register("rules_detect", _rule_sql(), lambda d: rules.detect(d, _RULES, cap=None))
-_register("rules_cap_1000", _rule_sql(1000), lambda d: rules.detect(d, _RULES))
+#: With words that many documents have, so that there are more hits than the cap lets through.
+_COMMON = [*_RULES, *(rules.Rule(w, w, "keyword", "low", id=w) for w in ("the", "der", "la", "в", "的", "e"))]
+_register("rules_cap_1000", _rule_sql(1000, _COMMON), lambda d: rules.detect(d, _COMMON))
+_register("rules_guards", _rule_sql(None, _RULES, 900), lambda d: rules.detect(d, _RULES, cap=None, max_bytes=900))
+_register("rules_names_only", _rule_sql(None, [replace(r, match_content=False) for r in _RULES]), lambda d: rules.detect(d, _RULES, include_content=False, cap=None))
 _register(
     "rules_risk_rollup",
     _rule_sql().replace("SELECT * FROM h", "SELECT risk, count(*) AS n_hits, count(DISTINCT path) AS n_files, CASE risk WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 WHEN 'critical' THEN 3 END AS severity FROM h GROUP BY risk"),
     lambda d: rules.rollup(rules.detect(d, _RULES, cap=None)),
 )
-_register("rules_defaults", None, lambda d: rules.detect(d, cap=None))
+_register("rules_defaults", _rule_sql(None, rules.DEFAULT_RULES), lambda d: rules.detect(d, cap=None))
 
 
 # --- index maintenance: what is indexed is one state of the documents, the scan another
@@ -302,7 +309,45 @@ query("batch_options", "SELECT b.id, b.name, count(d.path) AS n_docs FROM batche
 query("batch_summary", "SELECT (SELECT count(*) FROM batches) AS n_batches, (SELECT count(*) FROM documents WHERE batch IN (SELECT id FROM batches)) AS n_docs")(
     lambda spark, sf_dir: index.batch_summary(load(spark, sf_dir, "batches"), documents(spark, sf_dir))
 )
-_register("clear_all", f"WITH {DOCS} SELECT path FROM docs WHERE false", lambda d: d.where(F.lit(False)).select("path"))
+
+
+# --- a stored index: the documents in one version, half of them again in a delta, some removed and put back
+
+
+def _store(spark: SparkSession, sf_dir: str) -> index.IndexStore:
+    docs = documents(spark, sf_dir).select(*[c.split()[0] for c in index.DOC_SCHEMA.split(", ")])
+    old = docs.withColumn("content", F.when(F.crc32("path") % 2 == 0, F.lit("an older text")).otherwise(F.col("content")))
+    store = index.IndexStore(spark, work_dir(spark, "index"))
+    store.commit("base", old.where(F.crc32("path") % 3 > 0))
+    store.apply("removal", docs.limit(0), docs.where(F.crc32("path") % 5 == 0))
+    store.apply("delta", docs.where((F.crc32("path") % 2 == 0) | (F.crc32("path") % 3 == 0) | (F.crc32("path") % 5 == 0)), docs.limit(0))
+    return store
+
+
+_STORED = ["voucher inventory signatures", '+voucher stamped -receipt "the owner"', "inven* +wa?er", "recipt~1", "content:[zebra TO zinc] size:[0 TO 300]", '"retention period"~2', "filetype:PDF +register", "检验报告", "(voucher OR receipt) AND (stamped OR sealed)"]
+
+
+@query("store_search", " UNION ALL ".join(f"SELECT '{q}' AS q, path, filename, filetype, batch, size, score, snippet FROM ({search_sql(q, 300, None, True)})" for q in _STORED))
+def store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches of every kind over a stored index of a base and deltas."""
+    store = _store(spark, sf_dir)
+    docs, postings = store.read(), store.postings()
+    found = [search.search_postings(postings, docs, q, 300, snippets=True).select(F.lit(q).alias("q"), "path", "filename", "filetype", "batch", "size", "score", "snippet") for q in _STORED]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("store_documents", f"WITH {DOCS} SELECT path, md5(coalesce(content, '')) AS digest FROM docs")
+def store_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store(spark, sf_dir).read().select("path", F.md5(F.coalesce("content", F.lit(""))).alias("digest"))
+
+
+@query("clear_all", "SELECT n_before, n_after FROM (SELECT count(*) AS n_before, 0::BIGINT AS n_after FROM documents)")
+def clear_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a stored index before and after it is cleared."""
+    store = _store(spark, sf_dir)
+    before = store.count()
+    store.commit("clear", store.read().limit(0))
+    return spark.createDataFrame([(before, store.count())], "n_before bigint, n_after bigint")
 
 
 def _changes(d: DataFrame, **how) -> DataFrame:
@@ -322,16 +367,18 @@ _register("truncate_maxchars", f"WITH {DOCS} SELECT path, CASE WHEN ext IN ({_EX
 
 # --- files, as tables of bytes
 
-from papersluice.functions.encoding import decode  # noqa: E402
-from papersluice.functions.extract.package import Package  # noqa: E402
 from papersluice.plans import samples  # noqa: E402
-from papersluice.sources.files import decode_table  # noqa: E402
+from papersluice.sources.files import decode_bytes, decode_table, list_files, ordered_files, unreadable, zip_entries  # noqa: E402
 
 _SAMPLES = {
     "a.docx": (samples.docx, "First line\tafter tab\nsecond\nthird 预算\na note\ntop"), "b.xlsx": (samples.xlsx, "name\tparts\n\t12.5\tinline\n\n"),
     "c.pptx": (samples.pptx, "slide 1\nslide 2\nslide 10\n"), "d.wps": (samples.docx, "First line\tafter tab\nsecond\nthird 预算\na note\ntop"), "e.ofd": (samples.ofd, "second\ntenth\n"),
     "f.doc": (samples.doc, "宽字符 text\nnarrow result end\t"), "g.xls": (samples.xls, "名称\tamount\n12345.5\t3/15/23\n7\n"), "h.ppt": (samples.ppt, "标题 one正文正文正文正文"),
-    "i.wps": (samples.wps, "项目计划书 第一版\n内部评审通过"), "j.pdf": (samples.pdf, "Hello (world)\n"), "k.zip": (lambda: samples.package({"in/a.txt": "text", "b.bin": "x"}), "── b.bin ──\n\n── in/a.txt ──\ntext\n"),
+    "i.wps": (samples.wps, "水库巡检表 第一版\n内部评审通过"), "j.pdf": (samples.pdf, "Hello (world)\n"), "k.zip": (lambda: samples.package({"in/a.txt": "text", "b.bin": "x"}), "── b.bin ──\n\n── in/a.txt ──\ntext\n"),
+    "p.pdf": (samples.pdf_pages, "café one still\n预算\na b\n"), "q.docx": (samples.docx_with_type, None),
+    "r.zip": (lambda: samples.package({"__MACOSX/x.txt": "x", "d/.DS_Store": "x", "Thumbs.db": "x", "kept.txt": "y"}), "── kept.txt ──\ny\n"),
+    "s.zip": (lambda: samples.package({"big.txt": "0" * (33 << 20), "small.txt": "y"}), "── big.txt ──\n（条目过大，跳过内容）\n\n── small.txt ──\ny\n"),
+    "t.zip": (lambda: samples.package({"in.zip": samples.package({"deep.txt": "z"})}), "── in.zip ──\n── deep.txt ──\nz\n\n"),
     "l.exe": (lambda: b"MZ", None), "m.docx": (lambda: b"PK damaged", None), "n.txt": (lambda: "国标编码的文本内容".encode("gb18030"), "国标编码的文本内容"), "o.doc": (lambda: samples.doc(True), None),
 }
 
@@ -349,20 +396,115 @@ def extract_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_table(_sample_table(spark), index.MAX_CHARS).select("path", "ok", "text", "label")
 
 
-_ENCODED = [("目录与文件，全部为中文。", c, n) for c, n in (("utf-8", "UTF-8"), ("utf-8-sig", "UTF-8"), ("gb18030", "GB18030"), ("utf-16-le", "UTF-16LE"), ("utf-16-be", "UTF-16BE"))]
-_ENCODED += [("plain ascii", c, n) for c, n in (("ascii", "ASCII"), ("utf-16-le", "UTF-16LE"), ("utf-16-be", "UTF-16BE"), ("utf-32", "UTF-32LE"))]
+_ENCODED = [("目录与文件，全部为中文。", "目录与文件，全部为中文。".encode(c), n) for c, n in (("utf-8", "UTF-8"), ("utf-8-sig", "UTF-8"), ("gb18030", "GB18030"), ("utf-16-le", "UTF-16LE"), ("utf-16-be", "UTF-16BE"))]
+_ENCODED += [("plain ascii", "plain ascii".encode(c), n) for c, n in (("ascii", "ASCII"), ("utf-16-le", "UTF-16LE"), ("utf-16-be", "UTF-16BE"), ("utf-32", "UTF-32LE"))]
+_ENCODED += [("啊\ufffd", b"\xb0\xa1\xff", "GB18030"), ("", b"", "ASCII"), ("ab", b"ab", "ASCII")]
 
 
 @query("decode_encodings", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', '{n}')" for i, (t, _, n) in enumerate(_ENCODED)) + ") t(id, text, encoding)")
 def decode_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame([(i, bytearray(t.encode(c))) for i, (t, c, _) in enumerate(_ENCODED)], "id int, bytes binary")
-    return raw.select("id", F.udf(lambda b: tuple(decode(bytes(b))), "struct<text string, encoding string>", useArrow=True)("bytes").alias("d")).select("id", "d.*")
+    return decode_bytes(spark.createDataFrame([(i, bytearray(b)) for i, (_, b, _) in enumerate(_ENCODED)], "id int, bytes binary"))
 
 
-@query("zip_entries_listed", "SELECT * FROM (VALUES ('a.txt', 500, 8, false), ('b.txt', 1, 0, false), ('目录/', 0, 8, true)) t(name, size, method, is_directory)")
+@query("zip_entries_listed", "SELECT * FROM (VALUES ('a', 'a.txt', 500::BIGINT, 8, false, false), ('a', 'b.txt', 1, 0, false, false), ('a', '目录/', 0, 8, true, false), ('b', NULL, NULL, NULL, NULL, true)) t(path, name, size, method, is_directory, damaged)")
 def zip_entries_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = Package(samples.package({"b.txt": "2", "a.txt": "1" * 500, "目录/": ""}, stored=("b.txt",))).entries
-    return spark.createDataFrame([(e.name, e.size, e.method, e.is_directory) for e in entries], "name string, size int, method int, is_directory boolean")
+    archive = samples.package({"b.txt": "2", "a.txt": "1" * 500, "目录/": ""}, stored=("b.txt",))
+    raw = spark.createDataFrame([("a", bytearray(archive)), ("b", bytearray(b"PK damaged"))], "path string, bytes binary")
+    return zip_entries(raw).select("path", "name", "size", "method", "is_directory", F.col("error").isNotNull().alias("damaged"))
+
+
+# --- a directory tree, listed and indexed
+
+import os  # noqa: E402
+
+_TREE = {"a.txt": "机密 alpha", "b/c.md": "beta", "b/d/e.pdf": samples.pdf(), "b/d/f/g.bin": "x", "b/d/f/h/i.txt": "deep words", "_hidden.txt": "u", "skip/s.txt": "left out", "z.zip": samples.package({"in.txt": "archived"})}
+
+
+def _plant(spark: SparkSession) -> str:
+    """Writes the tree, with links to a directory, to a file and to nothing, into a new shared folder."""
+    root = work_dir(spark, "tree").removeprefix("file://").removeprefix("file:")
+    for name, body in _TREE.items():
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        with open(f"{root}/{name}", "wb") as f:
+            f.write(body if isinstance(body, bytes) else body.encode())
+    os.symlink(f"{root}/b", f"{root}/linked")
+    os.symlink(f"{root}/a.txt", f"{root}/file-link.txt")
+    os.symlink(f"{root}/nothing", f"{root}/dangling.txt")
+    return root
+
+
+def _listed(*names: str) -> str:
+    sizes = {n: len(b if isinstance(b, bytes) else b.encode()) for n, b in _TREE.items()} | {"file-link.txt": len(_TREE["a.txt"].encode())}
+    return "SELECT path, ext, size, row_number() OVER (ORDER BY path) AS n FROM (VALUES " + ", ".join(f"('/{n}', '.{n.rpartition('.')[2]}', {sizes[n]}::BIGINT)" for n in names) + ") t(path, ext, size)"
+
+
+def _tree(name: str, names: Sequence[str], at: str = "", **options) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = _plant(spark)
+        how = options | ({"exclude": [f"{root}/{x}" for x in options["exclude"]]} if "exclude" in options else {})
+        return ordered_files(list_files(spark, root + at, **how)).select(F.expr(f"substring(path, {len(root) + 1})").alias("path"), "ext", "size", "n")
+
+    run.__name__ = name
+    query(name, _listed(*names))(run)
+
+
+_EVERY = [*_TREE, "file-link.txt"]
+_tree("tree_listed", _EVERY)
+_tree("tree_extensions", ["b/c.md", "b/d/e.pdf"], extensions=[".md", ".pdf"])
+_tree("tree_excluded", [n for n in _EVERY if not n.startswith(("skip/", "b/d/"))], exclude=["SKIP/", "b/d"])
+_tree("tree_single", ["b/d/f/g.bin"], "/b/d/f/g.bin", extensions=[".txt"])
+
+
+@query("tree_unreadable", "SELECT * FROM (VALUES ('/dangling.txt')) t(path)")
+def tree_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _plant(spark)
+    return unreadable(spark, root).select(F.expr(f"substring(path, {len(root) + 1})").alias("path"))
+
+
+_STEPS = [  # step, added, updated, skipped, failed, unsupported, removed, total_docs, batches
+    ("scan", 9, 0, 0, 0, 1, 0, 9, 1), ("again", 0, 0, 9, 0, 0, 0, 9, 1), ("changed", 1, 2, 6, 1, 0, 1, 9, 1), ("second root by name", 1, 0, 0, 0, 0, 0, 10, 2), ("rebuilt", 9, 0, 0, 1, 1, 1, 9, 3),
+    ("batch deleted", 0, 0, 0, 0, 0, 9, 0, 2), ("cleared", 0, 0, 0, 0, 0, 0, 0, 0),
+]
+
+
+@query("engine_runs", "SELECT * FROM (VALUES " + ", ".join(map(str, _STEPS)) + ") t(step, added, updated, skipped, failed, unsupported, removed, total_docs, batches)")
+def engine_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the runs of an engine did to its index and its registry of batches: scan, update, another root, rebuild, removal."""
+    from papersluice.api import Engine
+
+    root, home = _plant(spark), work_dir(spark, "home")
+    engine, rows = Engine(spark, home), []
+
+    def note(step: str, r=None, removed: int = 0) -> None:
+        counts = (r.added, r.updated, r.skipped, r.failed, r.unsupported, r.removed) if r else (0, 0, 0, 0, 0, removed)
+        rows.append((step, *counts, engine.total_docs(), len(engine.batches.all())))
+
+    first = engine.scan(root, "first")
+    note("scan", first)
+    note("again", engine.update_batch(first.batch.id))
+    with open(f"{root}/a.txt", "w") as f:
+        f.write("changed entirely")
+    with open(f"{root}/new.md", "w") as f:
+        f.write("fresh")
+    with open(f"{root}/bad.docx", "wb") as f:
+        f.write(b"PK damaged")
+    os.unlink(f"{root}/z.zip")
+    os.unlink(f"{root}/file-link.txt")
+    os.symlink(f"{root}/b/c.md", f"{root}/file-link.txt")
+    note("changed", engine.update_batch(first.batch.id))
+    other = work_dir(spark, "other").removeprefix("file://").removeprefix("file:")
+    os.makedirs(other)
+    with open(f"{other}/o.txt", "w") as f:
+        f.write("other root")
+    note("second root by name", engine.scan(other, include_content=False))
+    rebuilt = engine.scan(root, "whole", full_rebuild=True)
+    note("rebuilt", rebuilt)
+    before = engine.total_docs()
+    engine.delete_batch(rebuilt.batch.id)
+    note("batch deleted", removed=before - engine.total_docs())
+    engine.clear()
+    note("cleared")
+    return spark.createDataFrame(rows, "step string, added int, updated int, skipped int, failed int, unsupported int, removed int, total_docs int, batches int")
 
 
 _INLINE = ["中a文b 报告v2", "哈哈哈, 单", "foo-bar １２ x", "𠮷野家 한국어 カタカナ", "", "İstanbul ÀÉ"]

@@ -3,6 +3,7 @@
 import io
 import struct
 import zipfile
+import zlib
 
 W = 'xmlns:w="urn:w"'
 
@@ -116,8 +117,40 @@ def xls() -> bytes:
 
 
 def wps() -> bytes:
-    return compound({"Contents": b"\x01\x02\x03" * 5 + "项目计划书 第一版".encode("gb18030") + b"\x00\x00" + "内部评审通过".encode("gb18030") + b"\x05\x00" * 9})
+    return compound({"Contents": b"\x01\x02\x03" * 5 + "水库巡检表 第一版".encode("gb18030") + b"\x00\x00" + "内部评审通过".encode("gb18030") + b"\x05\x00" * 9})
 
 
 def pdf() -> bytes:
     return b"%PDF-1.4\n1 0 obj\n<< /Length 44 >>\nstream\nBT /F1 12 Tf 72 720 Td (Hello \\(world\\)) Tj ET\nendstream\nendobj\n%%EOF"
+
+
+def pdf_pages() -> bytes:
+    """Two pages whose content lies in the other order, the second in a font of mapped codes; the page tree lies in an object stream."""
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange\n2 beginbfchar <0001> <9884> <0002> <7B97> endbfchar\n1 beginbfrange <0010> <0012> <0061> endbfrange"
+    tree = [(1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Type /Pages /Kids [3 0 R 4 0 R] /Count 2 >>")]
+    inner, body = b"", b""
+    for number, text in tree:
+        inner += b"%d %d " % (number, len(body))
+        body += text + b" "
+    packed = zlib.compress(inner + body)
+    parts = [
+        (7, _stream(b"BT /F2 12 Tf 72 700 Td <00010002> Tj 0 -14 Td [<0010> -300 <0011>] TJ ET")),
+        (6, _stream(b"BT /F1 12 Tf 72 700 Td (caf\\351 one) Tj 40 0 Td ( still) Tj ET")),
+        (3, b"<< /Type /Page /Parent 2 0 R /Contents 6 0 R /Resources << /Font << /F1 8 0 R >> >> >>"),
+        (4, b"<< /Type /Page /Parent 2 0 R /Contents [7 0 R] /Resources << /Font << /F2 9 0 R >> >> >>"),
+        (8, b"<< /Type /Font /Subtype /Type1 /Encoding /WinAnsiEncoding >>"),
+        (9, b"<< /Type /Font /Subtype /Type0 /ToUnicode 10 0 R >>"),
+        (10, _stream(cmap)),
+        (11, b"<< /Type /ObjStm /N 2 /First %d /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (len(inner), len(packed), packed)),
+    ]
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in parts) + b"%%EOF"
+
+
+def _stream(body: bytes) -> bytes:
+    packed = zlib.compress(body)
+    return b"<< /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (len(packed), packed)
+
+
+def docx_with_type() -> bytes:
+    """A document whose main part declares a document type."""
+    return package({"word/document.xml": '<!DOCTYPE d [<!ENTITY e "x">]><d><p><t>&e;</t></p></d>', "[Content_Types].xml": "<Types/>"})

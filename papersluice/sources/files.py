@@ -1,8 +1,8 @@
 """Directory trees as tables: a listing source, and the text of listed files.
 
-The listing is a Python data source. Its partitions are the subtrees two levels down, each of which
-is walked by the executor that reads it; extensions, excluded directories and directory links are
-cut off while walking. The tree has to be mounted on every executor.
+The listing is a Python data source. The driver opens directories, widest level first, until there
+are PARTS subtrees; each is walked by the executor that reads it. Extensions, excluded directories
+and directory links are cut off while walking. The tree has to be mounted on every executor.
 """
 
 from __future__ import annotations
@@ -12,15 +12,21 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from papersluice.functions import router
+from papersluice.functions.encoding import decode
 from papersluice.functions.extract import extract
+from papersluice.functions.extract.package import Package
+from papersluice.operators.order import ranked
 
 LISTING = "path string, filename string, ext string, size bigint, modified_ticks bigint"
 TEXTS = "path string, supported boolean, ok boolean, text string, error string, label string"
 #: Bytes of files that one extraction task should read.
 TASK_BYTES = 256 * 1024 * 1024
+#: Subtrees into which a tree is split, if it has so many, so that a deep folder with most files does not fall to one task.
+PARTS = 512
 EPOCH_TICKS = 621_355_968_000_000_000
 
 
@@ -60,12 +66,12 @@ class TreeReader(DataSourceReader):
     def partitions(self) -> Sequence[InputPartition]:
         if os.path.isfile(self.root):
             return [Subtree(self.root, False)]
-        out, level = [Subtree(self.root, False)], [self.root]
-        for depth in range(2):
-            below = [e.path for p in level for e in _entries(p) if _is_dir(e) and _same(e.path) not in self.exclude]
-            out += [Subtree(p, depth == 1) for p in below]
-            level = below
-        return out
+        # A directory that was opened here is listed without its subdirectories, the others with all below.
+        opened, level = [], [self.root]
+        while level and len(opened) + len(level) < PARTS:
+            opened += level
+            level = [e.path for p in level for e in _entries(p) if _is_dir(e) and _same(e.path) not in self.exclude]
+        return [*(Subtree(p, False) for p in opened), *(Subtree(p, True) for p in level)]
 
     def read(self, partition: Subtree) -> Iterator[tuple]:
         if os.path.isfile(partition.path):  # a single file is listed whatever its extension
@@ -107,7 +113,7 @@ class TreeSource(DataSource):
 
 
 def list_files(spark: SparkSession, root: str, extensions: Sequence[str] | None = None, exclude: Sequence[str] = ()) -> DataFrame:
-    """Files under ``root`` (or the file ``root``), unordered; what can't be read is left out.
+    """Files under ``root`` (or the file ``root``), unordered (``ordered_files`` gives their order); what can't be read is left out.
 
     ``extensions``: only these, in lower case with the dot; None for all. ``exclude``: directories
     whose subtrees are left out, compared whole and whatever their case.
@@ -121,6 +127,76 @@ def list_files(spark: SparkSession, root: str, extensions: Sequence[str] | None
     return reader.load(root)
 
 
+def ordered_files(files: DataFrame) -> DataFrame:
+    """A listing with ``n``, each file's place in the order of the paths (from 1), without bringing it into one partition."""
+    return ranked(files, "path")
+
+
+def unreadable(spark: SparkSession, root: str) -> DataFrame:
+    """``path`` of directories under ``root`` that can't be listed and of files that can't be looked at: what a listing leaves out."""
+    top = os.path.abspath(root)
+    dirs = list_files(spark, root).select(F.regexp_replace("path", "/[^/]*$", "").alias("d")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bad, every = [], {top}
+            for d in b.column(0).to_pylist():
+                while d.startswith(top) and d not in every:
+                    every.add(d)
+                    d = os.path.dirname(d)
+            for d in sorted(every):
+                try:
+                    with os.scandir(d) as it:
+                        for e in it:
+                            try:
+                                if e.is_dir(follow_symlinks=False):
+                                    os.scandir(e.path).close()
+                                else:
+                                    os.stat(e.path)
+                            except OSError:
+                                bad.append(e.path)
+                except OSError:
+                    bad.append(d)
+            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], names=["path"])
+
+    return dirs.mapInArrow(run, "path string").distinct()
+
+
+ENTRIES = "path string, name string, size bigint, method int, is_directory boolean, error string"
+
+
+def zip_entries(raw: DataFrame) -> DataFrame:
+    """``path``, ``name``, ``size``, ``method``, ``is_directory``, ``error`` of every entry of ZIP archives in a table with path and bytes.
+
+    An archive that can't be read gives one row with its ``error`` and nothing else; null bytes count as damaged.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    rows += [(path, e.name, e.size, e.method, e.is_directory, None) for e in Package(data or b"").entries]
+                except Exception as e:  # a damaged archive must not end the task
+                    rows.append((path, None, None, None, None, str(e)))
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["path", "name", "size", "method", "is_directory", "error"])
+
+    return raw.select("path", "bytes").mapInArrow(run, ENTRIES)
+
+
+def decode_bytes(raw: DataFrame, compat: bool = False) -> DataFrame:
+    """``id``, ``text``, ``encoding`` of a table with id and bytes, by the guess at their encoding."""
+    kind = raw.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [decode(d, compat) for d in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.text for x in found], pa.string()), pa.array([x.encoding for x in found], pa.string())], names=["id", "text", "encoding"])
+
+    return raw.select("id", "bytes").mapInArrow(run, f"id {kind}, text string, encoding string")
+
+
 def read_texts(files: DataFrame, max_chars: int, max_bytes: int) -> DataFrame:
     """path, supported, ok, text, error, label of each file; files larger than ``max_bytes`` are not opened."""
     total = files.selectExpr("coalesce(sum(size), 0) AS n").first().n

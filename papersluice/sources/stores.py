@@ -1,13 +1,12 @@
-"""Small registries kept as JSON files: import batches, rules and settings.
+"""Small registries kept as JSON files in a shared folder: import batches, rules and settings.
 
-Each save writes a new file and renames it over the old one. A missing or unreadable file gives the
-defaults.
+Each save puts a new file in place of the old one by one rename, on whatever file system the path
+names. A missing or unreadable file gives the defaults.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import json
 import logging
 import os
 from dataclasses import asdict, dataclass, field
@@ -16,23 +15,24 @@ from logging.handlers import RotatingFileHandler
 from pyspark.sql import DataFrame, SparkSession
 
 from papersluice.operators.rules import DEFAULT_RULES, Rule
+from papersluice.shared import SharedFolder
 
 LOG_BYTES = 2 * 1024 * 1024
 
 
-def _load(path: str):
-    try:
-        with open(path, encoding="utf-8") as f:
-            return json.load(f)
-    except (OSError, ValueError):
-        return None
+def _at(path: str, spark: SparkSession | None) -> tuple[SharedFolder, str]:
+    folder, _, name = path.rpartition("/")
+    return SharedFolder(spark or SparkSession.active(), folder or "."), name
 
 
-def _save(path: str, value) -> None:
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(f"{path}.new", "w", encoding="utf-8") as f:
-        json.dump(value, f, ensure_ascii=False, indent=1)
-    os.replace(f"{path}.new", path)
+def _load(path: str, spark: SparkSession | None = None):
+    folder, name = _at(path, spark)
+    return folder.load(name)
+
+
+def _save(path: str, value, spark: SparkSession | None = None) -> None:
+    folder, name = _at(path, spark)
+    folder.save(name, value)
 
 
 def new_batch_id(now: dt.datetime | None = None) -> str:

@@ -63,7 +63,7 @@ def test_routes():
         (".doc", fx.doc(), "宽字符 text\nnarrow result end\t"),
         (".xls", fx.xls(), "名称\tamount\n12345.5\t3/15/23\n7\n"),
         (".ppt", fx.ppt(), "标题 one正文正文正文正文"),
-        (".wps", fx.wps(), "项目计划书 第一版\n内部评审通过"),
+        (".wps", fx.wps(), "水库巡检表 第一版\n内部评审通过"),
         (".pdf", fx.pdf(), "Hello (world)\n"),
         (".txt", b"a longer line of text\0b", "a longer line of textb"),
     ],
