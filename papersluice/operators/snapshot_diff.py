@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papersluice.session import broadcast_if_small
+from papersluice.session import BROADCAST_ROWS
 
 PRESENCE = ""
 
@@ -48,9 +48,12 @@ def snapshot_changes(
     ).dropna(subset=["s", *ks])
     latest = src.groupBy("s", *ks).agg(F.max("r").alias("r"))
 
-    # One row per delivery.
+    # One row per delivery, read once: as long as there are few, they are brought here and broadcast.
     order = Window.orderBy("s")
     pairs = src.select("s").distinct().select("s", F.lag("s").over(order).isNotNull().alias("has_before"), F.lead("s").over(order).alias("after"))
+    few = pairs.take(BROADCAST_ROWS + 1)
+    if len(few) <= BROADCAST_ROWS:
+        pairs = F.broadcast(df.sparkSession.createDataFrame(few, pairs.schema))
 
     cells = [(F.lit(PRESENCE), F.lit(None).cast("string"))] + [(F.lit(c), F.col(f"r.f{i}")) for i, c in enumerate(fields)]
     signed = [
@@ -60,7 +63,7 @@ def snapshot_changes(
     ]
     unpivoted = (
         latest.repartition(*ks)
-        .join(broadcast_if_small(pairs), "s")
+        .join(pairs, "s")
         .select(*ks, F.inline(F.array(*signed)))
         .where(F.col("later").isNotNull())
     )
