@@ -126,6 +126,14 @@ def test_find_garbled(spark):
     assert garbled.find_garbled(df.limit(0)).count() == garbled.garbled_ids(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_rare_letters_are_no_case(spark, data, seed):
+    rows = [r.text for r in text_records(spark, data[: -len("sf0.001")] + "sf0.01", "name", "filename").distinct().orderBy("field", "rec_id", "text").collect() if not r.text.isascii()]
+    m = garbled.EncodingModel(random.Random(seed).sample(rows, 600))
+    for t in ("anlagen/Žluťoučký list.pdf", "── Torquin ──.log", "Łąka i żółć.txt", "Þórr og Ægir.doc", "①②③.txt", "НОВАЯ ДОВЕРЕННОСТЬ.pdf"):
+        assert m.examine(t) is None, t
+
+
 def test_two_stretches_and_evidence(model):
     a, b = garbled.garble("检验报告评估方案", "utf-8>cp437"), garbled.garble("修订后的会议纪要", "gb18030>latin-1")
     found = model.examine(f"工资表财务 {a} 定稿归档 {b} 财务定稿")
