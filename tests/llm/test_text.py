@@ -168,6 +168,42 @@ def test_garbled_recall_on_planted_records(spark, data):
     assert sum(x is not None and x.restored == t for (t, _), x in zip(planted, found)) > 0.93 * len(planted)
 
 
+def test_fit_counts_every_record(spark):
+    rows = [f"{i % 61}-{t}" for i in range(8) for t in CLEAN] + ["новая опись в архиве " * 1500] + [g for t in CLEAN[:20] if (g := garbled.garble(t, "utf-8>cp437"))]
+    rows += [f"{i}号检验报告.pdf" for i in range(max(0, 3500 - len(rows)))]
+    df = records(spark, [("name", i, t) for i, t in enumerate(rows * 2)] + [("name", -1, None), ("name", -2, "plain"), ("name", -3, "\ufffd\ufffd")])
+    whole, m = garbled.EncodingModel(rows), garbled.fit(df.repartition(7))
+    assert len(rows) > 3400 and max(map(len, rows)) > 20_000
+    assert np.array_equal(m.ratio, whole.ratio) and np.array_equal(m.clean, whole.clean)
+    assert (m.succession.single, m.succession.double, m.succession.total) == (whole.succession.single, whole.succession.double, whole.succession.total)
+    assert m.succession.double["новая"[:2]] >= 1500 and m.succession.double["0号"] >= 250
+
+
+def test_counts_by_brute_force(monkeypatch):
+    rng = random.Random(4)
+    texts = [t if i % 3 else garbled.garble(t, rng.choice(list(garbled.CHAINS))) or t for i, t in enumerate(rng.sample(CLEAN, 60))] + ["é", "ü" * 50]
+    monkeypatch.setattr(garbled, "COUNTED", 50)
+    assert np.array_equal(garbled.count_bigrams(texts), np.bincount(garbled.bigrams(texts)[0], minlength=garbled.BUCKETS))
+    counts, part = garbled.Counts(), garbled.Counts()
+    counts.add_bigrams(texts), counts.add_successions(texts)
+    want = {}
+    for t in texts:
+        for ab in zip(f" {t.lower()} ", f"{t.lower()} "):
+            want["".join(ab)] = want.get("".join(ab), 0) + 1
+    assert counts.succession(0, 1).double == want and counts.succession(0, 1).total == sum(len(t.lower()) + 2 for t in texts)
+    part.add_bigrams(texts[:20]), part.add_successions(texts[:20])
+    counts.subtract(part)
+    part.add_bigrams(texts[20:]), part.add_successions(texts[20:])
+    assert np.array_equal(counts.garbled[0], garbled.count_bigrams([g for t in texts[20:] if (g := garbled.garble(t, "utf-8>latin-1"))])) and part.succession(0, 1).double == want
+    assert garbled.count_bigrams([]).sum() == garbled.Counts().succession(0, 1).likelihood("") * 0 == 0
+
+
+def test_garbled_from_amid_a_word(model):
+    t = "новая опись на складе, архивная справка согласно плану"
+    bad = t[:17] + garbled.garble(t[17:42], "koi8-r>cp1251") + t[42:]
+    assert bad[16].isalpha() and bad[17].isalpha() and model.examine(bad).restored == t
+
+
 # --- personal information
 
 
