@@ -7,16 +7,19 @@ a passage is high enough makes the document a candidate for that passage. Candid
 checked term by term: the longest common subsequence of the passage's sentences with the document
 counts, within a stretch of the document, by the weight of the terms that set this passage apart
 from the other passages and from the corpus, so the same manner of writing, stock questions and a
-few words in common weigh nothing.
+few words in common weigh nothing. Before all this, documents are left out that have too few of a
+passage's terms, in whatever order, for any subsequence to weigh enough.
 """
 
 from __future__ import annotations
 
 import math
+import unicodedata
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papersluice.llm.lookalike import skeleton
-from papersluice.llm.terms import chars, portions, term_hashes, terms
+from papersluice.llm.terms import chars, mixed, portions, term_hashes, terms
 from papersluice.session import materialize, spread
 
 #: Hash buckets of terms.
@@ -61,6 +64,8 @@ RAREST = 0.0001
 STRETCH = 2.5
 #: Passages searched for in one pass over the corpus: what a task holds of them is bounded by it.
 PASSAGES_AT_ONCE = 5_000
+#: Characters on each side of a line break that tokens() joins.
+JOINED = 40
 #: Cosines computed at once.
 COSINES_AT_ONCE = 1 << 22
 #: Items and characters of passages that are taken as a query set; it is collected, so more are refused.
@@ -298,14 +303,125 @@ def tokens(text: str) -> list[str]:
         last = m.end()
         if not m.start() or not _TOKEN.match(text, m.start() - 1):
             continue
-        a = regex.search(r"[\p{L}\p{M}\p{N}]*$", text[max(0, m.start() - 40) : m.start()]).group()
-        z = _TOKEN.match(text[m.end() : m.end() + 40])
+        a = regex.search(r"[\p{L}\p{M}\p{N}]*$", text[max(0, m.start() - JOINED) : m.start()]).group()
+        z = _TOKEN.match(text[m.end() : m.end() + JOINED])
         if a and z:
             add(_HAN.split(a)[-1] + _HAN.split(z.group())[0] if not (_HAN.match(a[-1]) or _HAN.match(z.group()[0])) else a[-1] + z.group()[0])
     add(text[last:])
     return out
 
 
+#: Kinds of characters as tokens() tells them apart.
+GAP, LETTER, HAN, LINE = 0, 1, 2, 3
+#: Marks that _HAN takes in (as of kana): beside other marks, normalization may change their place.
+_HAN_MARKS = np.array([c for c in range(0x3040, 0xFB00) if unicodedata.combining(chr(c)) and _HAN.match(chr(c))], np.uint32)
+_UNKNOWN = 255
+
+
+class Folds:
+    """What skeleton() and lower() make of each code point by itself, learnt when it is first met.
+
+    Of a text they make the same, but for the order of marks and the two small sigmas, which count as one here.
+    """
+
+    def __init__(self) -> None:
+        self.size = np.full(0x110000, _UNKNOWN, np.uint8)
+        self.start = np.zeros(0x110000, np.int32)
+        self.codes = np.zeros(0, np.uint32)
+        self.kinds = np.zeros(0, np.uint8)
+        self.values = np.zeros(0, np.uint64)
+
+    def _learn(self, points: np.ndarray) -> None:
+        codes, kinds = [], []
+        for cp in points.tolist():
+            made = skeleton(chr(cp)).lower().replace("ς", "σ")
+            self.size[cp], self.start[cp] = len(made), len(self.codes) + len(codes)
+            codes += map(ord, made)
+            kinds += (LINE if c in "\r\n" else GAP if not _TOKEN.match(c) else HAN if _HAN.match(c) else LETTER for c in made)
+        self.codes = np.concatenate([self.codes, np.array(codes, np.uint32)])
+        self.kinds = np.concatenate([self.kinds, np.array(kinds, np.uint8)])
+        self.values = _letter_values(self.codes)
+
+    def of(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where ``codes``, ``kinds`` and ``values`` have each character of ``texts``, a gap after each text; where each text begins (and the last ends)."""
+        raw = np.frombuffer(("\0".join(texts) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+        bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        size = self.size[raw]
+        if (new := size == _UNKNOWN).any():
+            self._learn(np.unique(raw[new]))
+            size = self.size[raw]
+        at = self.start[raw]
+        if (size != 1).any():
+            ends = np.cumsum(size, dtype=np.int64)
+            at = np.repeat(at, size)
+            for k in range(1, int(size.max())):
+                more = np.flatnonzero(size > k)
+                at[ends[more] - size[more] + k] += k
+            bounds = np.concatenate([[0], ends[bounds[1:] - 1]])
+        return at, bounds
+
+
+_folds = lru_cache(1)(Folds)
+
+
+def _letter_values(codes: np.ndarray) -> np.ndarray:
+    """64 bits for each letter; a word's hash is their sum, which does not see the order of its letters."""
+    return mixed(codes.astype(np.uint64) + np.uint64(1))
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=out[1:])
+    return out
+
+
+def _pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mixed((first.astype(np.uint64) << np.uint64(32)) + second.astype(np.uint64))
+
+
+def key_hashes(keys: Sequence[str]) -> np.ndarray:
+    """64-bit hashes of keys as tokens() gives them."""
+    codes = np.frombuffer("".join(keys).replace("ς", "σ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([0, *map(len, keys)])
+    sums = _sums(_letter_values(codes))
+    out = sums[ends[1:]] - sums[ends[:-1]]
+    han = np.array([k for k, w in enumerate(keys) if _HAN.match(w)], np.int64)
+    out[han] = _pair_hashes(codes[ends[han]], codes[ends[han] + 1])
+    return out
+
+
+def text_hashes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all keys of more than one character that tokens() finds in the texts, the place of each, the places where each text
+    begins (and the last ends), and the numbers of the texts of which this can't be said.
+
+    There may be more: whatever is on both sides of a line break is joined.
+    """
+    folds = _folds()
+    place, bounds = folds.of(texts)
+    kinds = folds.kinds[place]
+    letter = kinds == LETTER
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], letter, [False]]).view(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    sums = _sums(folds.values[place])
+    words = sums[end] - sums[start]
+    han, lines = np.flatnonzero(kinds == HAN), np.flatnonzero(kinds == LINE)
+    first = np.flatnonzero(np.diff(han) == 1)
+    parted = _around(han, lines)
+    beside = np.concatenate([first, parted])
+    joined = _around(start, lines)
+    hashes = np.concatenate([words, words[joined] + words[joined + 1], _pair_hashes(folds.codes[place[han[beside]]], folds.codes[place[han[beside + 1]]])])
+    size = end - start
+    long = start[joined][np.maximum(size[joined], size[joined + 1]) > JOINED]
+    marked = [p for p in han[np.isin(folds.codes[place[han]], _HAN_MARKS)].tolist() if any(unicodedata.combining(chr(c)) for c in folds.codes[place[[max(0, p - 1), min(p + 1, len(place) - 1)]]])]
+    return hashes, np.concatenate([start, start[joined], han[beside]]), bounds, np.unique(np.searchsorted(bounds, np.concatenate([long, np.array(marked, np.int64)]), "right") - 1)
+
+
+def _around(at: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Numbers of the places ``at`` that are the last before one of the ``lines``, if another place follows."""
+    before = np.unique(np.searchsorted(at, lines)) - 1
+    return before[(before >= 0) & (before < len(at) - 1)]
+
+
 def split_tokens(passage: str) -> list[list[str]]:
     return [tokens(s) for s in _SENTENCE.split(passage) if s]
 
@@ -367,12 +483,15 @@ class Passages:
     weights: list[dict[str, float]] = field(default_factory=list)
     having: dict[str, list[int]] = field(default_factory=dict)
     length: list[int] = field(default_factory=list)
+    #: Hashes of the terms; hash h has the pairs pairs[0][h] to pairs[0][h + 1]: passage pairs[1][k], which has pairs[2][k] of weight by it.
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    pairs: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     @classmethod
     def of(cls, ids: Sequence, split: Sequence[list[list[str]]], answers: Sequence[str | None], own: Sequence[set[str]], share: Sequence[dict[str, float]]) -> Passages:
         """``split``: sentences of terms. ``own``: distinctive terms of each passage. ``share``: of the corpus, without what holds a part of the passage, that has each of them."""
         self = cls(list(ids))
-        having = defaultdict(list)
+        having, number, term, mass = defaultdict(list), {}, array("q"), array("d")
         for i, (p, answer) in enumerate(zip(split, answers)):
             self.length.append(sum(map(len, p)))
             # A passage that leaked often in parts too small to be told makes all its terms frequent alike: that much says nothing about a term.
@@ -383,11 +502,53 @@ class Passages:
             self.sentences.append(p)
             self.total.append(sum(weight[w] for s in p for w in s))
             self.answers.append(set(tokens(answer)) if answer else set())
+            times = Counter(w for s in p for w in s)
             for w in weight:
                 having[w].append(i)
+                term.append(number.setdefault(w, len(number)))
+                mass.append(times[w] * weight[w])
         self.having = dict(having)
+        self.hashes, of_term = np.unique(key_hashes(list(number)), return_inverse=True)
+        of_pair = of_term[np.array(term, np.int64)]
+        order = np.argsort(of_pair, kind="stable")
+        passage = np.repeat(np.arange(len(self.weights)), [len(x) for x in self.weights])
+        self.pairs = np.searchsorted(of_pair[order], np.arange(len(self.hashes) + 1)), passage[order], np.array(mass)[order]
         return self
 
+    def possible(self, texts: Sequence[str]) -> np.ndarray:
+        """Numbers of the texts that may hold a passage: the others have too few of its terms, in whatever order, for any subsequence to weigh enough."""
+        if not len(self.hashes):
+            return np.zeros(0, np.int64)
+        hashes, at, bounds, unsure = text_hashes(texts)
+        # Most terms are no passage's: a table of their first bits says so of nearly all.
+        few = np.flatnonzero(self._maybe[(hashes >> np.uint64(44)).astype(np.int64)])
+        place = np.searchsorted(self.hashes, hashes[few])
+        hit = self.hashes[np.minimum(place, len(self.hashes) - 1)] == hashes[few]
+        owner = np.searchsorted(bounds, at[few[hit]], "right") - 1
+        doc, term = np.divmod(np.unique(owner * len(self.hashes) + place[hit]), len(self.hashes))
+        start, passage, weight = self.pairs
+        need = np.array([t * (HELD_WITH_ANSWER if a else HELD) for t, a in zip(self.total, self.answers)])
+        n = start[term + 1] - start[term]
+        reached = np.cumsum(n)
+        out, lo = [unsure], 0
+        while lo < len(doc):
+            hi = int(np.searchsorted(reached, (reached[lo - 1] if lo else 0) + PAIRS_AT_ONCE, "right"))
+            whole = int(np.searchsorted(doc, doc[hi])) if hi < len(doc) else hi  # a text's terms stay together
+            hi = whole if whole > lo else int(np.searchsorted(doc, doc[lo], "right"))
+            many = n[lo:hi]
+            k = np.repeat(start[term[lo:hi]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            both, back = np.unique(np.repeat(doc[lo:hi], many) * len(need) + passage[k], return_inverse=True)
+            enough = np.bincount(back, weight[k], len(both)) * (1 + 1e-9) >= need[both % len(need)]  # sums in another order may be less by a little
+            out.append(both[enough] // len(need))
+            lo = hi
+        return np.unique(np.concatenate(out))
+
+    @cached_property
+    def _maybe(self) -> np.ndarray:
+        maybe = np.zeros(1 << 20, bool)
+        maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        return maybe
+
     def held(self, text: str, candidates: np.ndarray | None = None) -> list[tuple[int, float]]:
         """Passages that ``text`` holds (their numbers, and the share held); ``candidates``: which may."""
         every = tokens(text)
@@ -530,10 +691,11 @@ def _search(shared, least: float, item_type: str):
         for b in batches:
             item_at, doc_at, lo = [], [], 0
             for texts in (x.to_pylist() for x in portions(b.column(1), 512)):
-                for doc, near in _near(texts, query, directions, least).items():
-                    for i, _ in passages.held(texts[doc], near):
+                some = passages.possible(texts).tolist()
+                for k, near in _near([texts[k] for k in some], query, directions, least).items():
+                    for i, _ in passages.held(texts[some[k]], near):
                         item_at.append(i)
-                        doc_at.append(lo + doc)
+                        doc_at.append(lo + some[k])
                 lo += len(texts)
             yield pa.RecordBatch.from_arrays([numbers.take(pa.array(item_at, pa.int64())), b.column(0).take(pa.array(doc_at, pa.int64()))], names=["item_id", "doc_id"])
 

@@ -98,7 +98,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers_cache[0][:n], _powers_cache[1][:n]
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h *= _MIX
     h ^= h >> np.uint64(29)
@@ -129,4 +129,4 @@ def term_hashes(c: Chars) -> tuple[np.ndarray, np.ndarray]:
     pairs = c.codes[pair].astype(np.uint64) * _P + c.codes[pair + 1].astype(np.uint64) + np.uint64(1)
     at = np.concatenate([start, pair])
     order = np.argsort(at, kind="stable")
-    return _mix(np.concatenate([words, pairs])[order]), np.searchsorted(at[order], c.bounds)
+    return mixed(np.concatenate([words, pairs])[order]), np.searchsorted(at[order], c.bounds)

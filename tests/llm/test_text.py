@@ -2,8 +2,10 @@ import random
 import time
 import unicodedata
 from itertools import combinations
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -426,6 +428,34 @@ def test_leaks_lose_no_candidate(spark, data):
     assert found(None) == found(-1)
 
 
+def test_leaks_read_closely_only_where_enough_terms_are(monkeypatch):
+    items = passages(30)
+    split = [leakage.split_tokens(p) for p in items]
+    own = leakage.distinctive(split)
+    known = leakage.Passages.of(range(30), split, [None] * 30, own, [{}] * 30)
+    texts = [f"The report {i} was filed.\n{items[i % 30] if i % 10 == 0 else items[i % 30][:12]}\nAbout 12 folders were copied." for i in range(400)]
+    want = [(i % 30, i) for i in range(0, 400, 10)]
+    assert [(i, d) for d, t in enumerate(texts) for i, _ in known.held(t)] == want
+    read = []
+    tokens = leakage.tokens
+    monkeypatch.setattr(leakage, "tokens", lambda t: read.append(t) or tokens(t))
+    run = leakage._search(SimpleNamespace(value=(known, np.zeros((30, leakage.RANK), np.float32), None)), -1.0, "bigint")
+    got = [r for b in run(iter([pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts)], names=["doc_id", "text"])])) for r in zip(*b.to_pydict().values())]
+    assert got == want and len(read) == len(want)
+
+
+def test_hashes_of_texts_have_all_tokens():
+    rng = random.Random(3)
+    pools = ["abcXYZ", "ab \n\r\t>|*•\u2028", "éÅñøßŉİıſﬁΣσςΑά", "ЖйЁа١٢½Ⅷ", "中文国口エー・", "がぱ゙゚ﾊﾞ꥓ꙴ", "\u0323\u0301\u0345", "\u200b\u00ad", "한각가각", "กขิ์", "𝒜𠀀豈", ["x" * 39, "x" * 41, "\n"]]
+    texts = ["", "a", "\n"] + ["".join(rng.choice(rng.choice(some)) for _ in range(rng.choice([2, 5, 30, 120]))) for some in (rng.sample(pools, 3) + ["ab\n "] for _ in range(4000))]
+    hashes, at, bounds, unsure = leakage.text_hashes(texts)
+    there = {*zip((np.searchsorted(bounds, at, "right") - 1).tolist(), hashes.tolist())}
+    sure = sorted({*range(len(texts))} - {*unsure.tolist()})
+    assert len(sure) > len(texts) / 2
+    keys = [(k, w) for k in sure for w in set(leakage.tokens(texts[k])) if len(w) > 1]
+    assert [x for x, h in zip(keys, leakage.key_hashes([w for _, w in keys]).tolist()) if (x[0], h) not in there] == []
+
+
 def test_terms_match_words():
     ids, bounds = terms(chars(["Alpha beta​gamma", "ALPHA betagamma", "中文字", "", None]), 1 << 20)
     a, b, c, d, e = (ids[x:y].tolist() for x, y in zip(bounds, bounds[1:]))
